@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
+from .language_id import op6_language_id
 from .mixing import op1_mixing
+from .ngram_join import op3_ngram_join
 from .token_counts import op2_token_counts
+from .toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_token_counts": op2_token_counts, "op4_bpe": op4_bpe}
+    return {
+        "op1_mixing": op1_mixing,
+        "op2_token_counts": op2_token_counts,
+        "op3_ngram_join": op3_ngram_join,
+        "op4_bpe": op4_bpe,
+        "op6_language_id": op6_language_id,
+        "op8_toxicity": op8_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
 from .language_id import op6_language_id
+from .media import op7_media
 from .mixing import op1_mixing
 from .ngram_join import op3_ngram_join
 from .token_counts import op2_token_counts
+from .topk import OP9_SQL, op9_topk
 from .toxicity import op8_toxicity
+from .warc import OP10_SQL, op10_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +24,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_ngram_join": op3_ngram_join,
         "op4_bpe": op4_bpe,
         "op6_language_id": op6_language_id,
+        "op7_media": op7_media,
         "op8_toxicity": op8_toxicity,
+        "op9_topk": op9_topk,
+        "op10_warc": op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_topk": OP9_SQL, "op10_warc": OP10_SQL}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
 from .language_id import op6_language_id
+from .licenses import OP5_SQL, op5_license_scan
 from .media import op7_media
 from .mixing import op1_mixing
 from .ngram_join import op3_ngram_join
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op3_ngram_join": op3_ngram_join,
         "op4_bpe": op4_bpe,
+        "op5_license_scan": op5_license_scan,
         "op6_language_id": op6_language_id,
         "op7_media": op7_media,
         "op8_toxicity": op8_toxicity,
@@ -32,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_topk": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op5_license_scan": OP5_SQL, "op9_topk": OP9_SQL, "op10_warc": OP10_SQL}

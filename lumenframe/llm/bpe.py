@@ -200,12 +200,13 @@ class WordBPE:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         split = [list(self.stretches(t)) for t in texts]
-        fresh = {w for parts in split for p in parts if isinstance(p, list) for w in p} - self.cache.keys()
+        words = {w for parts in split for p in parts if isinstance(p, list) for w in p}
+        fresh = [w for w in words if w not in self.cache]
         if len(self.cache) + len(fresh) > CACHE_WORDS:
             self.cache.clear()
-            fresh = {w for parts in split for p in parts if isinstance(p, list) for w in p}
+            fresh = list(words)
         if fresh:
-            self.learn(list(fresh))
+            self.learn(fresh)
         get = self.cache.__getitem__
         return [b"".join([b"".join(map(get, p)) if isinstance(p, list) else p.to_bytes(4, "little") for p in parts]) for parts in split]
 

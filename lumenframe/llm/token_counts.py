@@ -83,11 +83,11 @@ class LengthCounter:
         if not self.by_runs:
             return self.encode(texts)
         runs = [t.encode("utf-8", "surrogatepass").split() for t in texts]  # at ASCII white space, all of it safe boundaries here
-        fresh = set().union(*runs) - self.known.keys()
-        if len(self.known) + len(fresh) > KNOWN_RUNS:
+        every = set().union(*runs)
+        new = [r for r in every if r not in self.known]
+        if len(self.known) + len(new) > KNOWN_RUNS:
             self.known.clear()
-            fresh = set().union(*runs)
-        new = list(fresh)
+            new = list(every)
         cut = [pieces(x.decode("utf-8", "surrogatepass")) for x in new]
         lengths = iter(self.encode([p for c in cut for p in c]))
         self.known.update((x, sum(next(lengths) for _ in c)) for x, c in zip(new, cut, strict=True))

@@ -8,8 +8,8 @@
    prefix and drop out. The shingles returned by step 2 are also all that an intersection can hold, so nothing is read
    again in order to verify a pair.
 4. Classes with the same prefix and size are one group. Groups meet in the prefix index under size and position filters.
-   First each group meets three pivots of each index entry, which connects groups of near copies with few pairs; then
-   every pair of an entry that is not connected yet is expanded to its members and verified. Pairs of one component need
+   First each group meets three pivots of each index entry, which connects groups of near copies with few pairs, and
+   what is still apart meets twelve more; then every pair of an entry that is not connected yet is verified. Pairs of one component need
    no further test: the result is the component.
 5. Components of the verified links, and of the classes, by alternating stars.
 
@@ -43,7 +43,8 @@ RANGE_SHINGLES = 2_000_000
 SEND_SHINGLES = 1_500_000
 LEAST_BITS = 4
 REST_BITS = 48
-PIVOTS = 3
+#: Classes of an index entry that all others of it are held against, first and again for what is still apart.
+PIVOTS, MORE_PIVOTS = 3, 12
 CACHE_WORDS = 300_000
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -63,8 +64,9 @@ class Shingler:
         except KeyError:
             if len(known) > CACHE_WORDS:
                 known.clear()
-            for w in set(words) - known.keys():
-                known[w] = xxhash.xxh3_64_intdigest(w)
+            for w in words:
+                if w not in known:
+                    known[w] = xxhash.xxh3_64_intdigest(w)
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -208,7 +210,7 @@ def ordered_pair(a: str, b: str) -> list[Column]:
 
 def class_links(sets: DataFrame) -> DataFrame:
     """(node, label): components of the classes in sets (cls, n, used, prefix, toks), as far as they link with another."""
-    members = sets.select("cls", "n", "gid")
+    members = sets.select("cls", "n", "gid", "used", "prefix")
     groups = sets.groupBy("gid").agg(F.min(F.struct("cls", "n", "used", "prefix")).alias("g"))
     index = groups.select("gid", F.col("g.cls").alias("rep"), F.col("g.n").alias("n"), F.posexplode("g.prefix").alias("i", "tok"), F.col("g.used").alias("used"))
     index = common.write_shared(index.select("tok", "gid", "rep", "n", (F.col("used") + F.col("i")).alias("pos")), "prefix-index")
@@ -217,23 +219,40 @@ def class_links(sets: DataFrame) -> DataFrame:
     entries = index.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.array_distinct(F.array(*pivots)).alias("pivots")).where("c > 1").drop("c")
     met = index.join(entries, "tok").select("gid", "rep", "n", "pos", F.explode("pivots").alias("p")).where("gid <> p.gid")
     met = met.where(may_link(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"))).select(*ordered_pair("rep", "p.rep"))
-    within = members.join(groups.select("gid", F.col("g.cls").alias("rep")), "gid").where("cls <> rep").select(*ordered_pair("cls", "rep"))
+    within = members.select("cls", "gid").join(groups.select("gid", F.col("g.cls").alias("rep")), "gid").where("cls <> rep").select(*ordered_pair("cls", "rep"))
     first = common.write_shared(verified(met.unionByName(within).distinct(), sets), "links")
     labels = common.write_shared(connected(first), "labels")
-    # whatever shares an entry and is not connected yet
+    # more pivots for what shares an entry and is not connected yet
+    rows, named = open_rows(index, members, labels)
+    tops = [F.min_by(F.struct("cls", "n", "pos", "label"), F.xxhash64("cls", F.lit(PIVOTS + k))).alias(f"p{k}") for k in range(MORE_PIVOTS)]
+    entries = rows.groupBy("tok").agg(F.array_distinct(F.array(*tops)).alias("pivots"))
+    met = rows.join(entries, "tok").select("cls", "n", "pos", "label", F.explode("pivots").alias("p")).where("label <> p.label")
+    met = met.where(may_link(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"))).select(*ordered_pair("cls", "p.cls")).distinct()
+    labels = common.write_shared(merged(named, verified(met, sets)), "labels")
+    # and then every pair, at the first shingle that both prefixes have
+    rows, named = open_rows(index, members, labels)
+    other = rows.select("tok", *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "pos", "label", "before")])
+    met = rows.join(other, "tok").where("label < label2").where(may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2")))
+    pairs = met.where(~F.arrays_overlap("before", "before2")).select(*ordered_pair("cls", "cls2")).distinct()
+    return merged(named, verified(pairs, sets))
+
+
+def open_rows(index: DataFrame, members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members' rows of entries that hold more than one label, and (cls, label) of all members."""
     named = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     named = common.write_shared(named, "named")
     spans = named.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    open_entries = index.join(spans, "gid").groupBy("tok").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("tok")
-    rows = index.select("tok", "gid", "pos").join(open_entries, "tok").join(named, "gid").select("tok", "cls", "n", "pos", "label")
-    rows = common.write_shared(rows, "open-entries")
-    other = rows.select("tok", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
-    pairs = rows.join(other, "tok").where("label < label2").where(may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"))).select(*ordered_pair("cls", "cls2")).distinct()
-    second = verified(pairs, sets)
-    name = named.select("cls", "label")
-    joined = second.join(name.select(F.col("cls").alias("a"), F.col("label").alias("la")), "a").join(name.select(F.col("cls").alias("b"), F.col("label").alias("lb")), "b")
+    entries = index.join(spans, "gid").groupBy("tok").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("tok")
+    before = F.slice("prefix", F.lit(1), (F.col("pos") - F.col("used")).cast("int"))
+    rows = index.select("tok", "gid", "pos").join(entries, "tok").join(named, "gid").select("tok", "cls", "n", "pos", "label", before.alias("before"))
+    return common.write_shared(rows, "open-entries"), named.select("cls", "label")
+
+
+def merged(named: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) of named (cls, label) after the components of further links."""
+    joined = links.join(named.select(F.col("cls").alias("a"), F.col("label").alias("la")), "a").join(named.select(F.col("cls").alias("b"), F.col("label").alias("lb")), "b")
     over = connected(joined.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("top"))
-    return name.join(over, "label", "left").select(F.col("cls").alias("node"), F.coalesce("top", "label").alias("label"))
+    return named.join(over, "label", "left").select(F.col("cls").alias("node"), F.coalesce("top", "label").alias("label"))
 
 
 def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:

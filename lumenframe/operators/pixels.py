@@ -72,7 +72,7 @@ def redact(frames: DataFrame, fill: int = 0) -> DataFrame:
     def one(data: bytes, rows: int, cols: int, samples: int, bits: int, regions: list[dict]) -> tuple[bytes, int]:
         kind = np.dtype("u1") if bits <= 8 else np.dtype("<u2") if bits <= 16 else np.dtype("<u4")
         picture = np.frombuffer(data, kind, rows * cols * samples).reshape(rows, cols, samples).copy()
-        value = [fill >> 16 & 255, fill >> 8 & 255, fill & 255] if samples == 3 and bits <= 8 else fill
+        value = [fill >> 16 & 255, fill >> 8 & 255, fill & 255] if samples == 3 and bits <= 8 else fill & (1 << 8 * kind.itemsize) - 1
         met = 0
         for r in regions or ():
             x0, y0 = max(r["x"], 0), max(r["y"], 0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +19,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.run(bridge.images(spark, sf_dir))
 
 
-def _q(q: ImageQuery):
-    return lambda spark, sf_dir: q.run(bridge.images(spark, sf_dir))
+def _q(make: Callable[[], ImageQuery]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query from a builder, which needs a session for its columns."""
+    return lambda spark, sf_dir: make().run(bridge.images(spark, sf_dir))
 
 
 def join_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,14 +54,14 @@ def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "qr_flagship": flagship,
-    "qr_find_patient": _q(ImageQuery.for_patients().with_patient_id("PAT00000001*")),
-    "qr_find_study": _q(ImageQuery.for_studies().with_study_date_range("19980101", None)),
-    "qr_find_series": _q(ImageQuery.for_series().with_modality("XA").with_study_date_range(None, "19960301")),
-    "qr_find_image": _q(ImageQuery.for_images().with_modality("ES").with_study_date("19960102").return_field("n_rows")),
-    "qr_wildcard_name": _q(ImageQuery.for_patients().with_patient_name("Customer^0000000?5")),
-    "qr_date_range": _q(ImageQuery.for_studies().with_study_date_range("19970301", "19970331")),
-    "qr_modality_in": _q(ImageQuery.for_studies().with_modality("CT", "MR", "US")),
-    "qr_universal_match": _q(ImageQuery.for_patients().with_patient_name("")),
+    "qr_find_patient": _q(lambda: ImageQuery.for_patients().with_patient_id("PAT00000001*")),
+    "qr_find_study": _q(lambda: ImageQuery.for_studies().with_study_date_range("19980101", None)),
+    "qr_find_series": _q(lambda: ImageQuery.for_series().with_modality("XA").with_study_date_range(None, "19960301")),
+    "qr_find_image": _q(lambda: ImageQuery.for_images().with_modality("ES").with_study_date("19960102").return_field("n_rows")),
+    "qr_wildcard_name": _q(lambda: ImageQuery.for_patients().with_patient_name("Customer^0000000?5")),
+    "qr_date_range": _q(lambda: ImageQuery.for_studies().with_study_date_range("19970301", "19970331")),
+    "qr_modality_in": _q(lambda: ImageQuery.for_studies().with_modality("CT", "MR", "US")),
+    "qr_universal_match": _q(lambda: ImageQuery.for_patients().with_patient_name("")),
     "qr_level_rollup": lambda spark, sf_dir: level_counts(bridge.images(spark, sf_dir)),
     "qr_sop_class": sop_classes,
     "qr_move": moved,

@@ -57,7 +57,7 @@ def hypergeometric(total: str, marked: str, drawn: str, u: str) -> str:
     hi = f"least({k_}, {d_})"
     mode = f"least({hi}, greatest({lo}, cast(floor(({d_} + 1D) * ({k_} + 1D) / ({n_} + 2D)) as bigint)))"
     sd = f"sqrt({d_} * ({k_} / cast({n_} as double)) * (1D - {k_} / cast({n_} as double)) * ({n_} - {d_}) / greatest({n_} - 1D, 1D))"
-    choose = lambda a, b: f"({ln_factorial(a)} - {ln_factorial(b)} - {ln_factorial(f'{a} - {b}')})"
+    choose = lambda a, b: f"({ln_factorial(a)} - {ln_factorial(b)} - {ln_factorial(f'{a} - ({b})')})"
     p_mode = f"exp({choose('m.k', 'm.mode')} + {choose('m.n - m.k', 'm.d - m.mode')} - {choose('m.n', 'm.d')})"
     up = "s.up * ((m.k - m.mode - j + 1D) * (m.d - m.mode - j + 1D) / ((m.mode + j) * greatest(m.n - m.k - m.d + m.mode + j, 1D)))"
     down = "s.down * ((m.mode - j + 1D) * (m.n - m.k - m.d + m.mode - j + 1D) / ((m.k - m.mode + j) * (m.d - m.mode + j)))"

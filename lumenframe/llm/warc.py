@@ -96,6 +96,8 @@ def parse(data: bytes | memoryview, at: int) -> tuple[dict[str, str], bytes, int
         if not colon:
             raise Damaged("bad header line")
         headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+    if b"\0" in raw[:end] or not {"warc-type", "warc-record-id"} <= headers.keys():
+        raise Damaged("header without type or id")
     length = headers.get("content-length", "")
     if not length.isdigit():
         raise Damaged("no length")
@@ -192,7 +194,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([f"part-{part:06d}-{k:05d}.warc.gz"]), pa.array([b"".join(held)], pa.binary())], names=["name", "content"])
 
-    archives = rows.select("id", "url", "payload", "sha1", "winner").mapInArrow(run, "name string, content binary")
+    archives = rows.select("id", "url", "payload", "sha1", "winner").mapInArrow(common.tidy(run), "name string, content binary")
     path = common.new_path(spark, "warc")
     archives.write.option("compression", "none").parquet(path)
     return spark.read.schema(archives.schema).parquet(path)
@@ -230,7 +232,7 @@ def read(archives: DataFrame, payloads: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
     ddl = "name string, offset long, length long, type string, record_id string, uri string, refers_to string, payload_bytes long, payload_digest string, error string" + ", payload binary" * payloads
-    return archives.select("name", "content").mapInArrow(run, ddl)
+    return archives.select("name", "content").mapInArrow(common.tidy(run), ddl)
 
 
 def export(archives: DataFrame, folder: str) -> DataFrame:
@@ -249,7 +251,7 @@ def export(archives: DataFrame, folder: str) -> DataFrame:
                 fs.move(f"{base}/.{name}.part", f"{base}/{name}")
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(data)], pa.int64())], names=["name", "bytes"])
 
-    return archives.select("name", "content").mapInArrow(run, "name string, bytes long")
+    return archives.select("name", "content").mapInArrow(common.tidy(run), "name string, bytes long")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

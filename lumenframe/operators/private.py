@@ -17,8 +17,8 @@ def blocks(elements: DataFrame) -> DataFrame:
 
 
 def creators(elements: DataFrame) -> DataFrame:
-    """(file, group_no, slot, creator)."""
-    return blocks(elements).where("is_creator").select("file", "group_no", "slot", F.col("value").alias("creator"))
+    """(file, group_no, slot, creator), one row a slot: a file that came twice has its creators once."""
+    return blocks(elements).where("is_creator").groupBy("file", "group_no", "slot").agg(F.min("value").alias("creator"))
 
 
 def with_creator(elements: DataFrame) -> DataFrame:

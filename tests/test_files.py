@@ -208,3 +208,11 @@ def test_commands():
 def test_state_machine():
     assert association.step(1, "transport_indication") == 2 and association.step(6, "release_rq_pdu") == 8
     assert association.step(1, "transport_close") is None and association.step(1, "p_data_pdu") is None and association.step(5, "abort_pdu") == 1
+
+
+def test_lazy_pixels(spark, tmp_path):
+    from lumenframe.sources import lazy
+
+    (tmp_path / "p.dcm").write_bytes(encode([*BASE, Node(0x7FE00010, "OW", bytes(range(8)))]))
+    rows = lazy.load(lazy.locate(reader.files(spark, str(tmp_path)))).collect()
+    assert [bytes(r["data"]) for r in rows] == [bytes(range(8))]

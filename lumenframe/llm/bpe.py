@@ -241,7 +241,7 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: st
                 yield with_column(pa.RecordBatch.from_arrays(part.columns[:-1], names=part.schema.names[:-1]), ids_col, ids)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), f"`{ids_col}` binary"])
-    return moved.mapInArrow(run, schema)
+    return moved.mapInArrow(common.tidy(run), schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -260,7 +260,7 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: s
                 yield with_column(part, out_col, pc.binary_join(lists, " "))
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields), f"`{out_col}` string"])
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(common.tidy(run), schema)
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:

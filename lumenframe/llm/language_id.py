@@ -83,7 +83,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], names=["id", "n"])
 
     out = np.zeros((1 << BITS) + 1, np.int64)
-    for r in texts.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most 2^BITS + 1 rows
+    for r in texts.mapInArrow(common.tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most 2^BITS + 1 rows
         out[r["id"]] = r["n"]
     return out[:-1], int(out[-1])
 
@@ -140,7 +140,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             found = [counts_of(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(2).cast(pa.int64()), batch.column(0).cast(pa.string()), pa.array([a.astype("<i4").tobytes() for a, _ in found], pa.binary()), pa.array([t.astype("<i4").tobytes() for _, t in found], pa.binary())], names=["id", "lang", "at", "tf"])
 
-    rows = chosen.mapInArrow(featurise, "id long, lang string, at binary, tf binary").collect()  # bounded by the sample
+    rows = chosen.mapInArrow(common.tidy(featurise), "id long, lang string, at binary, tf binary").collect()  # bounded by the sample
     rows.sort(key=lambda r: (r["id"], r["lang"], bytes(r["at"])))
     return fit([(r["lang"], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["tf"], "<i4")) for r in rows], idf)
 
@@ -159,7 +159,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*names, "lang_pred", "score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "lang_pred string, score double"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.tidy(run), schema)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

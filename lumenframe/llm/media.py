@@ -143,7 +143,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folde
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True))], names=["id", "n_bytes", "digest", "folder", "shard", "offset", "length"])
         shards.close()
 
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, f"`{id_col}` long, n_bytes long, digest string, folder string, shard string, offset long, length long")
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(common.tidy(run), f"`{id_col}` long, n_bytes long, digest string, folder string, shard string, offset long, length long")
     return common.write_shared(rows, "media-manifest")
 
 
@@ -174,7 +174,7 @@ def _extended(manifest: DataFrame, make: object, fields: list[tuple[str, pa.Data
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, f[1]) for c, f in zip(more, fields, strict=True))], names=[*names, *(f[0] for f in fields)])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in manifest.schema.fields), *(f"{n} {k}" for n, _, k in fields)])
-    return manifest.mapInArrow(run, schema)
+    return manifest.mapInArrow(common.tidy(run), schema)
 
 
 def metadata(manifest: DataFrame) -> DataFrame:

@@ -40,12 +40,12 @@ SHINGLE_WORDS = 5
 THREE_QUARTERS = (7, 3)
 #: Shingles for one range of hashes, and those that a batch gathers before it sends them.
 RANGE_SHINGLES = 2_000_000
-SEND_SHINGLES = 1_500_000
+SEND_SHINGLES = 400_000
 LEAST_BITS = 4
 REST_BITS = 48
 #: Classes of an index entry that all others of it are held against, first and again for what is still apart.
 PIVOTS, MORE_PIVOTS = 3, 12
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -103,7 +103,7 @@ def profile(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
                 classes.append(class_id(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], names=["doc_id", "n_shingles", "cls"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, cls long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.tidy(run), "doc_id long, n_shingles long, cls long")
 
 
 def packed(docs: DataFrame, bits: int, words: int) -> DataFrame:
@@ -145,7 +145,7 @@ def packed(docs: DataFrame, bits: int, words: int) -> DataFrame:
         if sets:
             yield from send()
 
-    return docs.select("text").mapInArrow(run, "part long, low binary, high binary, owner binary, cls binary, n binary")
+    return docs.select("text").mapInArrow(common.tidy(run), "part long, low binary, high binary, owner binary, cls binary, n binary")
 
 
 def _runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -158,20 +158,22 @@ def shared_shingles(docs: DataFrame, bits: int, words: int) -> DataFrame:
 
     def count(blobs: pa.Table) -> pa.Table:
         part = blobs.column("part")[0].as_py()
-        toks, classes, sizes = [], [], []
-        for r in blobs.select(["low", "high", "owner", "cls", "n"]).to_pylist():
-            own = np.frombuffer(r["owner"], "<u2")
-            toks.append(np.frombuffer(r["low"], "<u4").astype(np.uint64) | np.frombuffer(r["high"], "<u2").astype(np.uint64) << np.uint64(32))
-            classes.append(np.frombuffer(r["cls"], np.int64)[own])
-            sizes.append(np.frombuffer(r["n"], np.int32)[own])
-        tok, cls, n = map(np.concatenate, (toks, classes, sizes))
-        del toks, classes, sizes
+        toks, owners, classes, sizes, first = [], [], [], [], 0
+        for r in blobs.select(["low", "high", "owner", "cls", "n"]).to_batches(max_chunksize=1):
+            low, high, own, cls, n = (np.frombuffer(c[0].as_buffer(), k) for c, k in zip(r.columns, ("<u4", "<u2", "<u2", np.int64, np.int32), strict=True))
+            toks.append(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))
+            owners.append(own.astype(np.int32) + first)
+            classes.append(cls)
+            sizes.append(n)
+            first += len(cls)
+        tok, owner, classes, sizes = map(np.concatenate, (toks, owners, classes, sizes))
+        del toks, owners
         order = np.argsort(tok)
         tok = tok[order]
         same = tok[1:] == tok[:-1]
         often = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        order, tok = order[often], tok[often]
-        cls, n = cls[order], n[order]
+        owner, tok = owner[order[often]], tok[often]
+        cls, n = classes[owner], sizes[owner]
         order = np.lexsort((n, cls, tok))
         tok, cls, n = tok[order], cls[order], n[order]
         fresh = np.concatenate([[True], (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1]) | (n[1:] != n[:-1])])[: len(tok)]
@@ -182,7 +184,12 @@ def shared_shingles(docs: DataFrame, bits: int, words: int) -> DataFrame:
         whole = (tok[kept] | np.uint64((part << REST_BITS) & 0xFFFFFFFFFFFFFFFF)) if bits <= 16 else tok[kept] | np.uint64((part << (64 - bits)) & 0xFFFFFFFFFFFFFFFF)
         return pa.table({"cls": cls[kept], "n": n[kept].astype(np.int64), "tok": whole.view(np.int64), "df": df[kept].astype(np.int64)})
 
-    return packed(docs, bits, words).groupBy("part").applyInArrow(count, "cls long, n long, tok long, df long")
+    def tidy_count(blobs: pa.Table) -> pa.Table:
+        out = count(blobs)
+        common.release()
+        return out
+
+    return packed(docs, bits, words).groupBy("part").applyInArrow(tidy_count, "cls long, n long, tok long, df long")
 
 
 def similar_sizes(n: Column, m: Column) -> Column:

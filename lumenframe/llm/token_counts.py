@@ -117,7 +117,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                 totals += counter(text.slice(a, b - a).to_pylist())
             yield common.table(schema, batch.column(0).cast(id_type), n_bytes, totals)
 
-    return narrow.mapInArrow(run, f"{id_col} {kind.simpleString()}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return narrow.mapInArrow(common.tidy(run), f"{id_col} {kind.simpleString()}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def vocabulary_path(name: str) -> str:

@@ -68,7 +68,7 @@ def ratios(texts: DataFrame) -> list[tuple[int, float]]:
         at = np.flatnonzero(n.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[0, at], pa.int64()), pa.array(n[1, at], pa.int64())], names=["id", "n0", "n1"])
 
-    counts = texts.mapInArrow(run, "id long, n0 long, n1 long").groupBy("id").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = texts.mapInArrow(common.tidy(run), "id long, n0 long, n1 long").groupBy("id").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     counts = common.write_shared(counts, "gram-counts")
     all_ = counts.where(F.col("id") == 1 << BITS).first()
     if all_ is None or not all_["n0"] or not all_["n1"]:
@@ -115,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found = pa.array([bare.value.present(x.as_py()).astype("<i2").tobytes() for x in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(2).cast(pa.int64()), batch.column(0), found], names=["id", "label", "at"])
 
-    rows = texts.mapInArrow(featurise, "id long, label int, at binary").collect()  # bounded by the sample
+    rows = texts.mapInArrow(common.tidy(featurise), "id long, label int, at binary").collect()  # bounded by the sample
     rows.sort(key=lambda x: (x["id"], x["label"], bytes(x["at"])))
     counts = dict(known.groupBy("_label").count().collect())
     y = np.array([x["label"] for x in rows], np.float64)
@@ -137,7 +137,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m.score(x.as_py()) for x in batch.column(where)], pa.float64())], names=[*names, "toxicity"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "toxicity double"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.tidy(run), schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,22 +14,28 @@ def is_valid(uid: Column) -> Column:
     return uid.rlike(r"^(0|[1-9][0-9]*)(\.(0|[1-9][0-9]*))*$") & (F.length(uid) <= 64)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once: inside other lambdas common parts are not shared."""
+    return F.transform(F.array(value), use)[0]
+
+
 def decimal_of_hex(digits: Column) -> Column:
-    """The decimal form of 32 hex digits, by long division of four 32-bit limbs by 10^9, five times."""
-    limbs = F.array(*[F.conv(F.substring(digits, at, 8), 16, 10).cast("long") for at in (1, 9, 17, 25)])
-    billion, shift = F.lit(1_000_000_000).cast("long"), F.lit(1 << 32).cast("long")
+    """The decimal form of 32 hex digits.
 
-    def divide(acc: Column, limb: Column) -> Column:
-        now = acc["rest"] * shift + limb
-        return F.struct((now % billion).alias("rest"), F.concat(acc["limbs"], F.array(F.call_function("div", now, billion))).alias("limbs"))
+    With B = 10^19 and 2^64 = B + C, the number h * 2^64 + l is B * h + (h * C + l). h is taken in two halves so that
+    no product leaves 38 digits; quotients and remainders by B give the upper and the lower 19 digits.
+    """
+    whole = lambda at, n: F.conv(F.substring(digits, at, n), 16, 10).cast("decimal(20,0)")
+    base, c = F.lit(str(10**19)).cast("decimal(20,0)"), F.lit(str(2**64 - 10**19)).cast("decimal(19,0)")
+    half = F.lit(2**32).cast("decimal(10,0)")
+    upper, lower = (whole(at, 8).cast("decimal(10,0)") for at in (1, 9))
+    quotient = lambda v: F.call_function("div", v, base).cast("decimal(20,0)")
 
-    def step(acc: Column, _: Column) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("rest"), F.lit([]).cast("array<bigint>").alias("limbs"))
-        done = F.aggregate(acc["limbs"], start, divide)
-        return F.transform(F.array(done), lambda d: F.struct(d["limbs"].alias("limbs"), F.concat(F.lpad(d["rest"].cast("string"), 9, "0"), acc["text"]).alias("text")))[0]
+    def joined(x: Column, t: Column) -> Column:
+        low = (t % base).cast("decimal(20,0)").cast("string")
+        return _once(whole(1, 16) + quotient(x) * half + quotient(t), lambda high: F.when(high == 0, low).otherwise(F.concat(high.cast("string"), F.lpad(low, 19, "0"))))
 
-    start = F.struct(limbs.alias("limbs"), F.lit("").alias("text"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(5)), start, step, lambda acc: F.regexp_replace(acc["text"], "^0+(?=.)", ""))
+    return _once(upper * c, lambda x: _once(lower * c + (x % base) * half + whole(17, 16), lambda t: joined(x, t)))
 
 
 def _bytes(digits: Column, order: list[int]) -> Column:
@@ -39,10 +47,13 @@ SWAPPED = [3, 2, 1, 0, 5, 4, 7, 6, 8, 9, 10, 11, 12, 13, 14, 15]
 
 def from_seed(seed: Column) -> Column:
     """2.25.<n> from the SHA-256 of a seed, marked as a UUID of version 5; the same seed always gives the same UID."""
-    h = F.substring(F.sha2(seed, 256), 1, 32)
-    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
-    marked = F.concat(F.substring(h, 1, 12), F.lit("5"), F.substring(h, 14, 3), variant, F.substring(h, 18, 15))
-    return F.concat(F.lit("2.25."), decimal_of_hex(_bytes(marked, SWAPPED)))
+
+    def marked(h: Column) -> Column:
+        variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+        return F.concat(F.substring(h, 1, 12), F.lit("5"), F.substring(h, 14, 3), variant, F.substring(h, 18, 15))
+
+    digits = _once(F.sha2(seed, 256), lambda h: _once(marked(h), lambda m: _bytes(m, SWAPPED)))
+    return F.concat(F.lit("2.25."), _once(digits, decimal_of_hex))
 
 
 def from_uuid(uuid: Column) -> Column:
@@ -53,10 +64,10 @@ def from_uuid(uuid: Column) -> Column:
 def from_uuid_little_endian(uuid: Column) -> Column:
     """2.25.<n> of the bytes of a UUID in the mixed order of its fields, read as a little-endian number."""
     digits = F.lower(F.replace(uuid, F.lit("-"), F.lit("")))
-    return F.concat(F.lit("2.25."), decimal_of_hex(_bytes(digits, SWAPPED[::-1])))
+    return F.concat(F.lit("2.25."), _once(_bytes(digits, SWAPPED[::-1]), decimal_of_hex))
 
 
 def from_name(root: Column, name: Column) -> Column:
     """root.<n>: the first 16 bytes of the SHA-256 of a name as a little-endian number, cut to 64 characters."""
-    h = F.substring(F.sha2(name, 256), 1, 32)
-    return F.substring(F.concat(root, F.lit("."), decimal_of_hex(_bytes(h, list(range(15, -1, -1))))), 1, 64)
+    digits = _once(F.sha2(name, 256), lambda h: _bytes(h, list(range(15, -1, -1))))
+    return F.substring(F.concat(root, F.lit("."), _once(digits, decimal_of_hex)), 1, 64)

@@ -46,9 +46,10 @@ def vr_resolve_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vm_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = bridge.elements(spark, sf_dir).join(F.broadcast(dims.dim_tag(spark).select("tag", "keyword", "vm")), "tag")
-    n = F.size(values.split_values(F.col("value")))
-    return e.select("keyword", "vm", n.alias("n_values"), tags.vm_ok(n, F.col("vm")).alias("ok")).groupBy("keyword", "vm", "n_values", "ok").agg(F.count(F.lit(1)).alias("n"))
+    """Numbers of values are counted by tag first, so that the dictionary meets few rows."""
+    counts = bridge.elements(spark, sf_dir).groupBy("tag", F.size(values.split_values(F.col("value"))).alias("n_values")).agg(F.count(F.lit(1)).alias("n"))
+    known = counts.join(F.broadcast(dims.dim_tag(spark).select("tag", "keyword", "vm")), "tag")
+    return known.groupBy("keyword", "vm", "n_values", tags.vm_ok(F.col("n_values"), F.col("vm")).alias("ok")).agg(F.sum("n").alias("n"))
 
 
 def uid_valid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID_PREFIX = "urn:page:"
 DATE = "1970-01-01T00:00:00Z"
 GZIP = b"\x1f\x8b\x08"
+VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
+#: Characters that would end or break a header line.
+_UNSAFE = re.compile(r"[\s\x00-\x1f\x7f-\x9f]")
 
 
 def base32_sha1(data: bytes) -> str:
@@ -82,26 +86,33 @@ class Damaged(ValueError):
     pass
 
 
-def parse(data: bytes | memoryview, at: int) -> tuple[dict[str, str], bytes, int]:
-    """Headers and block of the record at a place of plain bytes, and where it ends."""
-    raw = bytes(data[at : at + 65536])
-    if not re.match(rb"WARC/\d\.\d\r?\n", raw):
+def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
+    """Headers and block of the record at a place of plain bytes, and where it ends. A header may have any length."""
+    version = VERSION.match(data, at)
+    if not version:
         raise Damaged("no version line")
-    end = raw.find(b"\r\n\r\n")
-    if end < 0:
-        raise Damaged("header without end")
     headers: dict[str, str] = {}
-    for line in raw[:end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    pos = version.end()
+    while True:
+        end = data.find(b"\r\n", pos)
+        if end < 0:
+            raise Damaged("header without end")
+        if end == pos:
+            break
+        name, colon, value = data[pos:end].partition(b":")
         if not colon:
             raise Damaged("bad header line")
-        headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-    if b"\0" in raw[:end] or not {"warc-type", "warc-record-id"} <= headers.keys():
+        key = name.decode("utf-8", "replace").strip().lower()
+        if b"\0" in name or (b"\0" in value and key != "warc-target-uri"):
+            raise Damaged("header with NUL")
+        headers[key] = value.decode("utf-8", "replace").strip()
+        pos = end + 2
+    if not {"warc-type", "warc-record-id"} <= headers.keys():
         raise Damaged("header without type or id")
     length = headers.get("content-length", "")
     if not length.isdigit():
         raise Damaged("no length")
-    start, stop = at + end + 4, at + end + 4 + int(length)
+    start, stop = pos + 2, pos + 2 + int(length)
     if stop > len(data):
         raise Damaged("record is cut off")
     block = bytes(data[start:stop])
@@ -145,7 +156,7 @@ def records(data: bytes) -> Iterator[Record]:
                     headers, block, inner = parse(plain, inner)
                     found.append((headers, block))
             else:
-                headers, block, stop = parse(view, at)
+                headers, block, stop = parse(data, at)
                 found = [(headers, block)]
         except Damaged as e:
             bad, why = (at, str(e)) if bad is None else (bad, why)
@@ -185,7 +196,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_
                 raw = payload.encode("utf-8", "surrogatepass")
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()
                 again = winner is not None and i != winner
-                uri = re.sub(r"\s+", "%20", url or "")
+                uri = _UNSAFE.sub(lambda m: quote(m[0]), url or "")
                 held.append(compress(record("revisit" if again else "response", f"{ID_PREFIX}{'' if i is None else i}", uri, None if again else raw, len(raw), digest, f"{ID_PREFIX}{winner}" if again else None)))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:

@@ -6,8 +6,10 @@ a lost executor or a repeated task leaves; export() copies them out as files. Th
 content), such as spark.read.format("binaryFile") gives.
 
 Salvage: a member that doesn't decompress, a record with a bad header or length, or a block whose digest doesn't match
-is quarantined. The reader searches for the next gzip member that holds a record (in archives that aren't compressed,
-for the next version line), goes on from there and logs the byte range it left out, with the reason.
+is quarantined. The reader searches for the next gzip member that holds a record and for the next version line, in the
+archive and in the contents of a member, goes on at the first that can be read and logs the byte range it left out, with
+the reason. Of a member that is cut off or fails midway the records before the fault are kept, after a fault of the
+stream those with a block digest only.
 
 Null payloads are empty. Of records with equal payloads of at least min_bytes the one with the largest id is a response
 and the others revisit it; where several rows share that id and payload, each of them is a response. A null id is
@@ -86,8 +88,23 @@ class Damaged(ValueError):
     pass
 
 
-def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
-    """Headers and block of the record at a place of plain bytes, and where it ends. A header may have any length."""
+def digest_agrees(header: str, data: bytes) -> bool | None:
+    """Whether a digest header fits the data, in base32, base 16 or base64 of any case and padding; None if it can't be told."""
+    name, _, text = header.partition(":")
+    name, text = name.strip().lower().replace("-", ""), text.strip().rstrip("=")
+    if name not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512") or not text:
+        return None
+    raw = hashlib.new(name, data).digest()
+    if text.lower() == raw.hex() or text.upper() == base64.b32encode(raw).decode().rstrip("="):
+        return True
+    return text.replace("-", "+").replace("_", "/") == base64.b64encode(raw).decode().rstrip("=")
+
+
+def parse(data: bytes, at: int, sure: bool = True) -> tuple[dict[str, str], bytes, int]:
+    """Headers and block of the record at a place of plain bytes, and where it ends. A header may have any length.
+
+    Bytes that aren't sure to be right hold a record only where its block digest says so.
+    """
     version = VERSION.match(data, at)
     if not version:
         raise Damaged("no version line")
@@ -116,59 +133,103 @@ def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     if stop > len(data):
         raise Damaged("record is cut off")
     block = bytes(data[start:stop])
-    digest = headers.get("warc-block-digest", "")
-    if digest.lower().startswith("sha1:") and digest[5:] != base32_sha1(block):
-        raise Damaged("block digest differs")
+    agrees = digest_agrees(headers.get("warc-block-digest", ""), block)
+    if agrees is False or not (agrees or sure):
+        raise Damaged("no block digest to trust" if agrees is None else "block digest differs")
     if bytes(data[stop : stop + 4]) != b"\r\n\r\n":
         raise Damaged("record without end")
     return headers, block, stop + 4
 
 
-def member(data: memoryview, at: int) -> tuple[bytes, int]:
-    """The contents of the gzip member at a place, and where it ends."""
-    z, out, pos = zlib.decompressobj(31), [], at
+def member(data: memoryview, at: int) -> tuple[bytes, int, str | None, bool]:
+    """The contents of the gzip member at a place as far as they can be had, where they end, what is wrong, and if they are sure.
+
+    What comes before the end of the data is sure to be right; what comes before a fault of the stream is not.
+    """
+    z, out, pos, why, size = zlib.decompressobj(31), [], at, None, 16384
     while not z.eof:
-        chunk = data[pos : pos + 16384]
+        chunk = data[pos : pos + size]
         if not chunk:
-            raise Damaged("member is cut off")
+            why = why or "member is cut off"
+            break
+        before = z.copy() if size > 1 else None
         try:
             out.append(z.decompress(chunk))
         except zlib.error as e:
-            raise Damaged(f"gzip: {e}") from None
+            if before is None:
+                return b"".join(out), pos, f"gzip: {e}", False
+            z, size = before, 1  # once more, to the very byte of the fault
+            continue
         pos += len(chunk)
-        if out[0] and not out[0].startswith(b"WARC/"[: len(out[0])]):
+        start = out[0] if len(out[0]) >= 5 else b"".join(out[:8])
+        if start and not start.startswith(b"WARC/"[: len(start)]):
             raise Damaged("member holds no record")
-    return b"".join(out), pos - len(z.unused_data)
+    return b"".join(out), pos - len(z.unused_data), why, True
 
 
-def records(data: bytes) -> Iterator[Record]:
-    """All records of an archive that can be read, and the gaps between them."""
-    view, at, bad, why = memoryview(data), 0, None, ""
-    zipped = GZIP in data[:64] or (not data.startswith(b"WARC/") and GZIP in data)
-    while at < len(data):
+def walk(plain: bytes, sure: bool = True) -> Iterator[Record]:
+    """The records in the contents of a member, and the gaps between them, at their places in the contents."""
+    at, bad, why = 0, None, ""
+    while at < len(plain):
         try:
-            if zipped:
-                if data[at : at + 3] != GZIP:
-                    raise Damaged("no gzip member")
-                plain, stop = member(view, at)
-                found, inner = [], 0
-                while inner < len(plain):
-                    headers, block, inner = parse(plain, inner)
-                    found.append((headers, block))
-            else:
-                headers, block, stop = parse(data, at)
-                found = [(headers, block)]
+            headers, block, stop = parse(plain, at, sure)
         except Damaged as e:
             bad, why = (at, str(e)) if bad is None else (bad, why)
-            nxt = data.find(GZIP, at + 1) if zipped else data.find(b"\nWARC/", at)
-            at = len(data) if nxt < 0 else nxt + (not zipped)
+            nxt = VERSION.search(plain, at + 1)
+            at = nxt.start() if nxt else len(plain)
             continue
         if bad is not None:
             yield Record(bad, at - bad, error=why)
             bad = None
-        for headers, block in found:
-            yield Record(at, stop - at, headers, block)
+        yield Record(at, stop - at, headers, block)
         at = stop
+    if bad is not None:
+        yield Record(bad, len(plain) - bad, error=why)
+
+
+def records(data: bytes) -> Iterator[Record]:
+    """All records of an archive that can be read, and the gaps between them.
+
+    Gzip members and plain records may follow each other. Records of a member, and gaps in its contents, have the place
+    of the member. A member whose stream fails gives the records before the fault, and is a gap as well.
+    """
+    view, at, bad, why = memoryview(data), 0, None, ""
+    zipped = line = read_to = 0  # the next places of either kind, as far as they are known; plain bytes up to read_to were read
+    while at < len(data):
+        found, fault = [], None
+        try:
+            if data.startswith(GZIP, at):
+                plain, stop, fault, sure = member(view, at)
+                found = list(walk(plain, sure))
+                if not any(r.headers for r in found):
+                    fault = fault or (found[0].error if found else "member holds no record")
+                if fault is not None:
+                    found = [r for r in found if r.headers]
+                    read_to = stop if found else read_to
+            elif data.startswith(b"WARC/", at):
+                headers, block, stop = parse(data, at)
+                found = [Record(at, stop - at, headers, block)]
+            else:
+                raise Damaged("no record")
+        except Damaged as e:
+            fault = str(e)
+        if bad is not None and found:
+            yield Record(bad, at - bad, error=why)
+            bad = None
+        for r in found:
+            inner = "" if r.error is None else f"{r.error} (bytes {r.offset} to {r.offset + r.length} of the member's contents)"
+            yield Record(at, stop - at, r.headers, r.block, inner or None)
+        if fault is None:
+            at = stop
+            continue
+        bad, why = (at, fault) if bad is None else (bad, why)
+        if zipped <= at:
+            zipped = data.find(GZIP, at + 1)
+            zipped = len(data) if zipped < 0 else zipped
+        if line <= at or line < read_to:
+            nxt = VERSION.search(data, max(at + 1, read_to))
+            line = nxt.start() if nxt else len(data)
+        at = min(zipped, line)
     if bad is not None:
         yield Record(bad, len(data) - bad, error=why)
 

@@ -45,6 +45,8 @@ LEAST_BITS = 4
 REST_BITS = 48
 #: Classes of an index entry that all others of it are held against, first and again for what is still apart.
 PIVOTS, MORE_PIVOTS = 3, 12
+#: Classes of an index entry that a block holds where all links are asked for.
+BLOCK_ROWS = 512
 CACHE_WORDS = 150_000
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -262,11 +264,8 @@ def merged(named: DataFrame, links: DataFrame) -> DataFrame:
     return named.join(over, "label", "left").select(F.col("cls").alias("node"), F.coalesce("top", "label").alias("label"))
 
 
-def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    common.bounded_batches(spark)
-    profiles = common.write_shared(profile(docs, words), "profiles")
+def shingle_sets(docs: DataFrame, profiles: DataFrame, words: int) -> DataFrame:
+    """(cls, n, used, prefix, toks, gid) of the classes that hold a shingle of another class in their prefix."""
     total = profiles.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
     bits = max(LEAST_BITS, math.ceil(math.log2(max(1, total / RANGE_SHINGLES))))
     shared = shared_shingles(docs, bits, words).groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("s"))
@@ -275,7 +274,52 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame
     toks = F.transform("s", lambda x: x["tok"])
     sets = shared.select("cls", "n", "used", F.slice(toks, 1, F.col("places").cast("int")).alias("prefix"), toks.alias("toks"))
     gid = F.when(F.col("used") == 0, F.xxhash64("prefix", "n")).otherwise(F.col("cls"))
-    sets = common.write_shared(sets.withColumn("gid", gid), "shingle-sets")
+    return common.write_shared(sets.withColumn("gid", gid), "shingle-sets")
+
+
+def all_class_links(sets: DataFrame) -> DataFrame:
+    """(a, b), a < b: every pair of classes in sets that links, whether or not it connects anything new.
+
+    An entry of the prefix index that many classes share is split: each class stands in one of its blocks on the left
+    and in all of them on the right, so that no task holds all pairs of an entry.
+    """
+    rows = sets.select("cls", "n", "used", "prefix", F.posexplode("prefix").alias("i", "tok"))
+    rows = rows.select("tok", "cls", "n", (F.col("used") + F.col("i")).alias("pos"), F.slice("prefix", F.lit(1), F.col("i")).alias("before"))
+    rows = common.write_shared(rows, "class-entries")
+    entries = rows.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("tok", F.ceil(F.col("c") / BLOCK_ROWS).cast("int").alias("blocks"))
+    rows = rows.join(entries, "tok")
+    left = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    right = rows.select("tok", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "pos", "before")])
+    met = left.join(right, ["tok", "block"]).where("cls < cls2").where(may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2")))
+    pairs = met.where(~F.arrays_overlap("before", "before2")).select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
+    return verified(pairs.distinct(), sets)
+
+
+def jaccard_links(docs: DataFrame, words: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
+    """All links between different texts: (links, members) of docs (doc_id, text).
+
+    links (a, b, n_a, n_b) has each pair of linked classes once; members (doc_id, n_shingles, cls, class_id, n_links) has
+    for each row of docs its class, the smallest id in it and the exact number of other classes that it links with. Rows
+    of an equal class link with each other as well, and are not counted. The links are as many as there are similar
+    pairs of different texts; jaccard_components needs fewer of them.
+    """
+    common.bounded_batches(docs.sparkSession)
+    profiles = common.write_shared(profile(docs, words), "profiles")
+    sets = shingle_sets(docs, profiles, words)
+    size = lambda c, n: sets.select(F.col("cls").alias(c), F.col("n").alias(n))
+    links = common.write_shared(all_class_links(sets).join(size("a", "n_a"), "a").join(size("b", "n_b"), "b"), "all-links")
+    ends = links.select(F.col("a").alias("cls"), F.col("n_a").alias("n_shingles")).unionByName(links.select(F.col("b").alias("cls"), F.col("n_b").alias("n_shingles")))
+    counts = ends.groupBy("cls", "n_shingles").agg(F.count(F.lit(1)).alias("n_links"))
+    classes = profiles.where("cls is not null").groupBy("cls", "n_shingles").agg(F.min("doc_id").alias("class_id")).join(counts, ["cls", "n_shingles"], "left")
+    members = profiles.join(classes, ["cls", "n_shingles"], "left")
+    return links, members.select("doc_id", "n_shingles", "cls", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
+    common.bounded_batches(docs.sparkSession)
+    profiles = common.write_shared(profile(docs, words), "profiles")
+    sets = shingle_sets(docs, profiles, words)
     labels = class_links(sets)
     classes = profiles.where("cls is not null").groupBy("cls", F.col("n_shingles")).agg(F.min("doc_id").alias("rep"))
     named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))

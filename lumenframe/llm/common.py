@@ -10,9 +10,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Rows handed to a Python worker at a time; texts may be long, so few rows are sent at once.
 BATCH_ROWS = 1000
+#: Rows of a number and a label up to which a table is broadcast (some 30 MB).
+BROADCAST_ROWS = 1_000_000
 #: Words as the contracts define them: runs without ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -29,13 +32,19 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), one is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder serves a session whose executors run in the driver; any other session gets
+    an error, as its executors would each write to a disk of their own.
+    """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         known = sc._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lumenframe-shared-")
         sc.setCheckpointDir(path)
     elif not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -79,6 +88,25 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, by: Column, salts: i
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def sized_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """A join whose small side is counted first: up to most (narrow) rows are broadcast, more are shuffled with the big side."""
+    if small.limit(most + 1).count() <= most:
+        small = F.broadcast(small)
+    return big.join(small, key, how)
+
+
+def others(df: DataFrame, *new: str) -> tuple[list[int], list[StructField]]:
+    """Places and fields of the columns that stay beside new ones: one of the same name gives way."""
+    names = {n.lower() for n in new}
+    kept = [(i, f) for i, f in enumerate(df.schema.fields) if f.name.lower() not in names]
+    return [i for i, _ in kept], [f for _, f in kept]
+
+
+def packed_row(df: DataFrame) -> Column:
+    """All columns of df in one struct, so that none can clash with those of an operator."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def release() -> None:
     """Give freed memory back to the system: Python workers live on and serve stages of other needs."""
     pa.default_memory_pool().release_unused()
@@ -100,6 +128,23 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return wrapped
 
 
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """df.mapInArrow(run) for columns of any name (those with dots are no names to mapInArrow): run reads them by place."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(tidy(run), schema)
+
+
+def filter_rows(df: DataFrame, keep: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
+    """The rows of df for which the function that keep() makes in a worker says so; columns stay as they are."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = keep()
+        for batch in batches:
+            yield batch.filter(pa.array(decide(batch), pa.bool_())).rename_columns(names)
+
+    return map_rows(df, run, df.schema)
+
+
 def table(schema: pa.Schema, *columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

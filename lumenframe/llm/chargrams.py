@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import common
 
@@ -34,15 +35,21 @@ def gram_ids(c: np.ndarray, sizes: range, bits: int) -> list[np.ndarray]:
     return out
 
 
-def bounded_sample(rows: DataFrame, label: str, per_label: int, id_col: str = "doc_id", labels: int = 256) -> DataFrame:
-    """At most per_label rows of each of the most frequent labels, by a hash of the id; rows has (id_col, label).
+def bounded_sample(rows: DataFrame, per_label: int, most_labels: int, most_rows: int, counts: dict | None = None) -> DataFrame:
+    """A sample of rows (id, label, text); counts has the number of rows of each label, where that is known.
 
-    A first threshold on the hash, from the label's count, leaves a few times as many rows as are kept, so that no
-    label's rows meet in one task.
+    Each label gives as many different rows, by a hash of id and text, as per_label and its share of most_rows allow. A
+    first threshold on the hash, from the label's count, leaves a few times as many rows as are kept, so no label's
+    rows meet in one task; rows that repeat are one before they meet. More than most_labels labels are an error: none
+    is left out in silence.
     """
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), label).limit(labels)
-    drawn = common.salted_join(rows.withColumn("_u", common.unit_hash(id_col, seed=11)), counts, label, F.col(id_col), 8, "inner").where(F.col("_u") * F.col("_n") <= 2.0 * per_label + 50)
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(label).orderBy("_u", id_col)
-    return drawn.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_label).drop("_r", "_u", "_n")
+    if counts is None:
+        counts = dict(rows.groupBy("label").agg(F.count(F.lit(1))).limit(most_labels + 1).collect())
+    if len(counts) > most_labels:
+        raise ValueError(f"more than {most_labels} labels: raise the parameter for more memory of the driver, or map them first")
+    each = max(1, min(per_label, most_rows // max(1, len(counts))))
+    shares = rows.sparkSession.createDataFrame([(k, (2.0 * each + 50) / n) for k, n in counts.items()], StructType([StructField("label", rows.schema["label"].dataType), StructField("_share", DoubleType())]))
+    drawn = rows.withColumn("_u", common.unit_hash("id", "text", seed=11)).join(F.broadcast(shares), "label").where("_u <= _share")  # most_labels rows
+    once = drawn.groupBy("label", "id", "text").agg(F.min("_u").alias("_u"))
+    order = Window.partitionBy("label").orderBy("_u", "id")
+    return once.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each).select("id", "label", "text")

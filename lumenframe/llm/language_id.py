@@ -1,24 +1,27 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Learning: document frequencies of hashed n-grams over all rows that may be learned from; a bounded sample of them (at
-most SAMPLE_PER_LANG rows a language, MAX_LANGS languages) is fitted with follow-the-regularised-leader and elastic-net
+most SAMPLE_PER_LANG different rows a language and SAMPLE_ROWS in all) is fitted with follow-the-regularised-leader and elastic-net
 penalties, which keeps most weights at 0; a fifth of the sample sets the temperature that calibrates the scores.
 Only text and a non-null lang are learned from; a prediction sees the text alone.
 
 A null text, or one without a letter, is "und" with score 0, and so is every text if there is nothing to learn from.
-Ties go to the language first in order. Repeated rows get the same result; rows whose id is null count as held out.
+Ties go to the language first in order. Repeated rows get the same result; rows whose id is null count as held out. A text
+is read whole, however long it is. Columns named lang_pred and score give way to the new ones, all others stay. An empty
+table gives an empty one.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import common
 from .chargrams import bounded_sample, codes, gram_ids
@@ -27,10 +30,12 @@ BITS = 15
 GRAMS = range(1, 4)
 #: The bound of the sample that the classifier is fitted on.
 SAMPLE_PER_LANG = 600
-MAX_LANGS = 256
+SAMPLE_ROWS = 150_000
+#: Languages up to which the weights fit the driver; more are an error, none is left out.
+MAX_LANGS = 1024
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 0.002, 0.0005
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def counts_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -126,40 +131,45 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray) -> Mode
     return model
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> Model:
+def learnable(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(id, label, text) of the rows that may be learned from."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("label"), F.col(text_col).alias("text"))
+    return rows.where(~common.held_out("id") & F.col("label").isNotNull() & F.col("text").isNotNull())
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG, max_langs: int = MAX_LANGS) -> Model:
     """A model from the rows of docs that may be learned from."""
     common.bounded_batches(docs.sparkSession)
-    usable = docs.where(~common.held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    df, total = document_frequencies(usable.select(text_col))
+    usable = learnable(docs, id_col, text_col, lang_col)
+    df, total = document_frequencies(usable.select("text"))
     idf = (np.log((1.0 + total) / (1.0 + df)) + 1.0).astype(np.float32)
-    ids = bounded_sample(usable.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")), "_lang", per_lang, "_id", MAX_LANGS).select("_id").distinct()
-    chosen = usable.join(F.broadcast(ids), usable[id_col] == ids["_id"], "left_semi").select(F.col(lang_col), F.col(text_col), F.col(id_col))  # at most per_lang * MAX_LANGS ids
+    chosen = bounded_sample(usable, per_lang, max_langs, SAMPLE_ROWS)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [counts_of(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(2).cast(pa.int64()), batch.column(0).cast(pa.string()), pa.array([a.astype("<i4").tobytes() for a, _ in found], pa.binary()), pa.array([t.astype("<i4").tobytes() for _, t in found], pa.binary())], names=["id", "lang", "at", "tf"])
+            found = [counts_of(x.as_py()) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array([a.astype("<i4").tobytes() for a, _ in found], pa.binary()), pa.array([t.astype("<i4").tobytes() for _, t in found], pa.binary())], names=["id", "lang", "at", "tf"])
 
-    rows = chosen.mapInArrow(common.tidy(featurise), "id long, lang string, at binary, tf binary").collect()  # bounded by the sample
-    rows.sort(key=lambda r: (r["id"], r["lang"], bytes(r["at"])))
+    rows = chosen.mapInArrow(common.tidy(featurise), "id string, lang string, at binary, tf binary").collect()  # bounded by the sample
+    rows.sort(key=lambda r: (len(r["id"]), r["id"], r["lang"], bytes(r["at"]), bytes(r["tf"])))
     return fit([(r["lang"], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["tf"], "<i4")) for r in rows], idf)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score; text_col stays, other columns too."""
     common.bounded_batches(docs.sparkSession)
-    names = docs.columns
-    where = names.index(text_col)
+    where = docs.columns.index(text_col)
+    kept, fields = common.others(docs, "lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS weights a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             found = [m.predict(x.as_py()) for x in batch.column(where)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*names, "lang_pred", "score"])
+            new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *new], names=[*(f.name for f in fields), "lang_pred", "score"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "lang_pred string, score double"])
-    return docs.mapInArrow(common.tidy(run), schema)
+    return common.map_rows(docs, run, StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,22 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree; DataFrame operations only.
 
 1. Every document gets a hash in [0, 1) from its id and text. A source's documents, in the order of their hashes, are a
-   permutation, cut into blocks: ranges of equal width of the hash (a power of two of them, at most MAX_BLOCKS).
+   permutation, cut into blocks: ranges of equal width of the hash, a power of two of them, which grows with the words.
 2. The words to take from each source (its target) become a quota of blocks: whole rounds through all its blocks, then
    as many more as hold the rest of the target, the last of them in part.
-3. The quotas are split among the output shards by a binary tree. A node's left half gets, source by source, an exact
-   hypergeometric draw (inversion from the mode outwards) from what the node holds, so that all quotas add up exactly.
+3. The quotas are split among the output shards by a binary tree. A node's left half gets a multivariate
+   hypergeometric draw from what the node holds, itself a tree of draws over its sources (inversion of a uniform number
+   from the mode outwards, to twelve standard deviations; probabilities are doubles), so that all quotas add up exactly.
 4. Each shard draws its number of blocks of each source from where the shards before it stopped, and orders its rows by
-   a hash of its own: rows are shuffled within shards, and no order over the whole mix is ever needed.
+   a hash of its own: rows are shuffled within shards, and no order over the whole mix is ever needed. What a document
+   gives to the mix is the sum over the draws of its block.
 
-Everything follows from hashes of the values, so reruns agree. Only sources x MAX_BLOCKS numbers are gathered; documents
-move once, by (source, block), which spreads a source that holds most rows over many tasks.
+Everything follows from hashes of the values, so reruns agree. A number a source is gathered in one row; documents move
+once, by (source, block), which spreads a source that holds most rows over many tasks.
 
 Null texts have size 0, null sources are one source, last in order. Sources without words get nothing. Repeated rows
-share a hash and are mixed as any others. Empty tables give empty results. Extra columns stay where rows are returned.
+share a hash and are mixed as any others. A very long text is a document like others: its block is larger. Empty tables
+give empty results. Extra columns of any name stay where rows are returned.
 """
 
 from __future__ import annotations
@@ -29,10 +32,12 @@ from . import common
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3
-MAX_BLOCKS = 4096
-#: Words for one output shard, and the most shards of a mix.
-SHARD_WORDS = 1 << 20
-MAX_SHARDS = 4096
+#: Blocks of a source with enough documents for them, and words of a block beyond which a source has more blocks.
+LEAST_BLOCKS = 4096
+BLOCK_WORDS = 1 << 22
+#: Words for one output shard; above MOST_SHARDS of them, shards hold more words instead.
+SHARD_WORDS = 1 << 22
+MOST_SHARDS = 1 << 16
 SEED = 20
 
 
@@ -57,8 +62,10 @@ def hypergeometric(total: str, marked: str, drawn: str, u: str) -> str:
     hi = f"least({k_}, {d_})"
     mode = f"least({hi}, greatest({lo}, cast(floor(({d_} + 1D) * ({k_} + 1D) / ({n_} + 2D)) as bigint)))"
     sd = f"sqrt({d_} * ({k_} / cast({n_} as double)) * (1D - {k_} / cast({n_} as double)) * ({n_} - {d_}) / greatest({n_} - 1D, 1D))"
-    choose = lambda a, b: f"({ln_factorial(a)} - {ln_factorial(b)} - {ln_factorial(f'{a} - ({b})')})"
-    p_mode = f"exp({choose('m.k', 'm.mode')} + {choose('m.n - m.k', 'm.d - m.mode')} - {choose('m.n', 'm.d')})"
+    choose = lambda a, b: [f"{a}", f"-1 - ({b})", f"-1 - ({a} - ({b}))"]  # noqa: E731  x for ln x!, -1 - x for -ln x!
+    negative = lambda terms: [f"-1 - ({t})" for t in terms]
+    terms = choose("m.k", "m.mode") + choose("m.n - m.k", "m.d - m.mode") + negative(choose("m.n", "m.d"))
+    p_mode = f"exp(aggregate(array({', '.join(terms)}), 0D, (a, t) -> a + if(t >= 0, 1, -1) * transform(array(if(t >= 0, t, -1 - t)), x -> {ln_factorial('x')})[0]))"
     up = "s.up * ((m.k - m.mode - j + 1D) * (m.d - m.mode - j + 1D) / ((m.mode + j) * greatest(m.n - m.k - m.d + m.mode + j, 1D)))"
     down = "s.down * ((m.mode - j + 1D) * (m.n - m.k - m.d + m.mode - j + 1D) / ((m.k - m.mode + j) * (m.d - m.mode + j)))"
     step = f"""transform(array(named_struct('up', if(m.mode + j <= m.hi, {up}, 0D), 'down', if(m.mode - j >= m.lo, {down}, 0D))), t ->
@@ -72,34 +79,42 @@ def hypergeometric(total: str, marked: str, drawn: str, u: str) -> str:
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
-    """(shard, quotas) from one row of quotas array<long>: the tree, one level at a time."""
+    """(shard, quotas) from one row of quotas array<struct<source, n>>: the tree, one level at a time.
+
+    A node holds the sources that it has blocks of, so nodes get smaller as they get more. Its left half takes half of its
+    blocks; how many of them come from either half of its sources is a hypergeometric draw, then from either quarter, and
+    so on to single sources, which together is the multivariate draw.
+    """
     nodes = quotas.select(F.lit(0).cast("long").alias("node"), F.col("quotas"))
-    u = "shiftrightunsigned(xxhash64({seed}L, {level}, node, i), 11) / 9007199254740992D"
+    depth = max(0, math.ceil(math.log2(max(1, quotas.select(F.size("quotas")).first()[0]))))
     for level in range(int(math.log2(shards))):
-        draw = hypergeometric("a.total", "element_at(quotas, cast(i as int))", "a.drawn", u.format(seed=seed, level=level))
-        left = f"""aggregate(sequence(1, size(quotas)), named_struct('total', total, 'drawn', total div 2, 'x', cast(array() as array<bigint>)),
-            (a, i) -> transform(array({draw}), x -> named_struct('total', a.total - element_at(quotas, cast(i as int)), 'drawn', a.drawn - x, 'x', array_append(a.x, x)))[0], a -> a.x)"""
-        nodes = nodes.withColumn("total", F.expr("aggregate(quotas, 0L, (a, q) -> a + q)")).withColumn("left", F.expr(left))
-        halves = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("quotas")), F.struct((F.col("node") * 2 + 1).alias("node"), F.expr("zip_with(quotas, left, (q, x) -> q - x)").alias("quotas")))
-        nodes = nodes.select(F.explode(halves).alias("h")).select("h.node", "h.quotas")
+        # sums of runs of 1, 2, 4 ... sources
+        nodes = nodes.withColumn("s0", F.transform("quotas", lambda q: q["n"]))
+        for k in range(depth):
+            nodes = nodes.withColumn(f"s{k + 1}", F.expr(f"transform(sequence(0, greatest(1, size(s{k}) + size(s{k}) % 2) - 1, 2), i -> s{k}[i] + coalesce(get(s{k}, i + 1), 0L))"))
+        nodes = nodes.withColumn("left", F.expr(f"array(s{depth}[0] div 2)"))
+        for k in reversed(range(depth)):
+            u = f"shiftrightunsigned(xxhash64({seed}L, {level}, node, {k}, i), 11) / 9007199254740992D"
+            draw = hypergeometric(f"s{k + 1}[i]", f"s{k}[2 * i]", "left[i]", u)
+            halves = f"flatten(transform(sequence(0, size(s{k + 1}) - 1), i -> transform(array({draw}), x -> array(x, left[i] - x))[0]))"
+            nodes = nodes.withColumn("left", F.expr(f"slice({halves}, 1, size(s{k}))"))
+        rest = F.expr("filter(zip_with(quotas, left, (q, x) -> named_struct('source', q.source, 'n', q.n - x)), q -> q.n > 0)")
+        left = F.expr("filter(zip_with(quotas, left, (q, x) -> named_struct('source', q.source, 'n', x)), q -> q.n > 0)")
+        halves = F.array(F.struct((F.col("node") * 2).alias("node"), left.alias("quotas")), F.struct((F.col("node") * 2 + 1).alias("node"), rest.alias("quotas")))
+        nodes = nodes.select(F.explode(halves).alias("h")).select("h.node", "h.quotas").where(F.size("quotas") > 0)
     return nodes.withColumnRenamed("node", "shard")
 
 
 @dataclass
 class MixPlan:
-    """blocks: a row for each (source, block) that is drawn from or holds documents."""
+    """blocks: a row for each (source, block) that holds documents, with the draws that take it: (copy, shard)."""
 
     blocks: DataFrame
     shards: int
+    fine_bits: int
     seed: int
 
 
-def hashed(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: int = SEED) -> DataFrame:
-    """docs with the columns that the plan needs: _key, _u, _fine."""
-    u = common.unit_hash(docs[id_col], docs[text_col], seed=seed)
-    return docs.withColumn("_key", source_key(docs[source_col])).withColumn("_u", u).withColumn("_fine", F.floor(u * MAX_BLOCKS).cast("int"))
-
-
 def with_targets(sources: DataFrame, weights: Sequence[float], max_repeat: int) -> DataFrame:
     """sources (source, docs, words) with target: shares of all words by weight, none above max_repeat times its words.
 
@@ -122,85 +137,93 @@ def with_targets(sources: DataFrame, weights: Sequence[float], max_repeat: int)
     return rest.withColumn("free", free["level"]).withColumn("target", F.coalesce(F.least("cap", F.col("free") * F.col("weight")), F.col("cap"))).drop("level", "free", "left_words", "left_weight", "all_words")
 
 
-def plan(narrow: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = MAX_REPEAT, shard_words: int = SHARD_WORDS, seed: int = SEED) -> MixPlan:
-    """The plan of a mix; narrow has _key, _fine, source and size (words) of each document."""
-    histogram = common.write_shared(narrow.groupBy("_key", "_fine").agg(F.max("source").alias("source"), F.count(F.lit(1)).alias("docs"), F.sum("size").alias("words")), "mix-histogram")
-    sources = histogram.groupBy("_key").agg(F.max("source").alias("source"), F.sum("docs").alias("docs"), F.sum("words").alias("words"))
-    bits = int(math.log2(MAX_BLOCKS))
-    width = F.least(F.lit(bits), F.floor(F.log2(F.greatest(F.col("docs") / 4, F.lit(1.0)))).cast("int"))
-    sources = with_targets(sources, weights, max_repeat).withColumn("bits", width)
+def plan(narrow: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = MAX_REPEAT, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> MixPlan:
+    """The plan of a mix; narrow has _key, _u, source and size (words) of each document."""
+    counted = common.write_shared(narrow.groupBy("_key").agg(F.max("source").alias("source"), F.count(F.lit(1)).alias("docs"), F.sum("size").alias("words")), "mix-sources")
+    # blocks of a source: LEAST_BLOCKS or fewer where it has few documents, more where they would hold too many words
+    blocks_of = F.greatest(F.least(F.col("docs") / 4, F.lit(float(LEAST_BLOCKS))), F.col("words") / block_words, F.lit(1.0))
+    sources = with_targets(counted, weights, max_repeat).withColumn("bits", F.floor(F.log2(blocks_of)).cast("int"))
     goal = F.floor("target").cast("long")
     sources = sources.withColumn("rounds", F.when(F.col("words") > 0, F.expr("cast(floor(target) as bigint) div words")).otherwise(0).cast("long"))
-    sources = sources.withColumn("rest", F.when(F.col("words") > 0, goal - F.col("rounds") * F.col("words")).otherwise(0).cast("long"))
+    sources = common.write_shared(sources.withColumn("rest", F.when(F.col("words") > 0, goal - F.col("rounds") * F.col("words")).otherwise(0).cast("long")), "mix-targets")
+    bits = sources.agg(F.max("bits")).first()[0] or 0
     # blocks, and the one in which the target falls
-    fine = histogram.select("_key", "_fine", F.col("words").alias("w")).join(sources.select("_key", "bits"), "_key")
-    blocks = fine.groupBy("_key", F.expr(f"shiftright(_fine, {bits} - bits)").alias("_block")).agg(F.sum("w").alias("block_words"))
+    fine = narrow.groupBy("_key", fine_column(bits).alias("_fine")).agg(F.sum("size").alias("w")).join(sources.select("_key", "bits"), "_key")
+    blocks = fine.groupBy("_key", block_column(F.col("_fine"), F.col("bits"), bits).alias("_block")).agg(F.sum("w").alias("block_words"))
     running = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("before", F.coalesce(F.sum("block_words").over(running), F.lit(0)).cast("long")).join(sources, "_key")
     blocks = blocks.withColumn("room", F.greatest(F.lit(0), F.least(F.col("block_words"), F.col("rest") - F.col("before"))).cast("long"))
-    blocks = common.write_shared(blocks.withColumn("draws", F.col("rounds") + (F.col("room") > 0).cast("long")), "mix-blocks")
+    blocks = common.write_shared(blocks.withColumn("draws", F.when(F.col("block_words") > 0, F.col("rounds") + (F.col("room") > 0).cast("long")).otherwise(0)), "mix-blocks")
     # whole numbers of blocks for the tree: empty blocks are no rows and are never drawn
-    totals = blocks.groupBy("_key").agg(F.sum("draws").alias("quota"))
+    totals = blocks.groupBy("_key").agg(F.sum("draws").alias("quota")).where("quota > 0")
     sized = blocks.agg(F.coalesce(F.sum(F.col("rounds") * F.col("block_words") + F.col("room")), F.lit(0)).alias("words"), F.coalesce(F.sum("draws"), F.lit(0)).alias("draws")).first()
     shards = 1
-    while shards < min(MAX_SHARDS, sized["words"] / shard_words, max(1, sized["draws"])):
+    while shards < min(MOST_SHARDS, sized["words"] / shard_words, max(1, sized["draws"])):
         shards *= 2
-    listed = totals.select(F.array_sort(F.collect_list(F.struct("_key", "quota"))).alias("l")).select(F.transform("l", lambda x: x["_key"]).alias("keys"), F.transform("l", lambda x: x["quota"]).alias("quotas"))
-    listed = listed.where(F.size("quotas") > 0)
-    leaves = split_quotas(listed.select("quotas"), shards, seed).select("shard", F.posexplode("quotas").alias("at", "n"))
-    by_source = leaves.join(listed.select(F.posexplode("keys").alias("at", "_key")), "at")
+    # one row of a number a source: no document is in it
+    listed = totals.agg(F.array_sort(F.collect_list(F.struct(F.col("_key").alias("source"), F.col("quota").alias("n")))).alias("quotas"))
+    leaves = split_quotas(listed, shards, seed).select("shard", F.explode("quotas").alias("q")).select("shard", F.col("q.source").alias("_key"), F.col("q.n").alias("n"))
     ends = Window.partitionBy("_key").orderBy("shard")
-    ranges = by_source.withColumn("end", F.sum("n").over(ends)).where("n > 0")
+    ranges = leaves.withColumn("end", F.sum("n").over(ends))
     # positions of a source: its blocks in order, again and again; each shard draws the next n of them
     drawn = ranges.select("_key", "shard", F.explode(F.expr("sequence(end - n, end - 1)")).alias("position"))
     order = Window.partitionBy("_key").orderBy("copy", "_block")
     positions = blocks.where("draws > 0").select("_key", "_block", F.explode(F.expr("sequence(1L, draws)")).alias("copy"))
     positions = positions.withColumn("position", (F.row_number().over(order) - 1).cast("long"))
-    placed = positions.join(drawn, ["_key", "position"]).groupBy("_key", "_block").agg(F.array_sort(F.collect_list(F.struct("copy", "shard"))).alias("s"))
-    placed = placed.select("_key", "_block", F.transform("s", lambda x: x["shard"]).alias("shards"))
+    placed = positions.join(drawn, ["_key", "position"]).groupBy("_key", "_block").agg(F.array_sort(F.collect_list(F.struct("copy", "shard"))).alias("drawn"))
     kept = blocks.select("_key", "_block", "words", "target", "rounds", "room", "block_words", "bits")
     full = common.write_shared(kept.join(placed, ["_key", "_block"], "left"), "mix-plan")
-    return MixPlan(full, shards, seed)
+    return MixPlan(full, shards, bits, seed)
 
 
-def block_column(bits: Column) -> Column:
-    return F.call_function("shiftright", F.col("_fine"), F.lit(int(math.log2(MAX_BLOCKS))) - bits)
+def fine_column(bits: int) -> Column:
+    return F.floor(F.col("_u") * (1 << bits)).cast("long")
+
+
+def block_column(fine: Column, bits: Column, fine_bits: int) -> Column:
+    return F.call_function("shiftright", fine, F.lit(fine_bits) - bits)
 
 
 def attach(rows: DataFrame, mix: MixPlan) -> DataFrame:
-    """rows (with _key, _fine, _u) with their block's columns. Sources are few numbers; rows meet them by (source, block)."""
+    """rows (with _key, _u) with their block's columns. Sources are few numbers; rows meet them by (source, block)."""
     widths = mix.blocks.groupBy("_key").agg(F.max("bits").alias("_bits"))
-    tagged = common.salted_join(rows, widths, "_key", F.col("_u")).withColumn("_block", block_column(F.col("_bits"))).drop("_bits")
+    tagged = common.salted_join(rows, widths, "_key", F.col("_u")).withColumn("_block", block_column(fine_column(mix.fine_bits), F.col("_bits"), mix.fine_bits)).drop("_bits")
     return tagged.join(mix.blocks, ["_key", "_block"], "left")
 
 
 def taken_words(narrow: DataFrame, mix: MixPlan, id_col: str = "doc_id") -> DataFrame:
-    """narrow with target, taken and shards. The document at which a target ends is taken in part."""
+    """narrow with target, taken and drawn: what a document gives to each draw of its block, added up.
+
+    A draw of one of the whole rounds takes all of its words; that of the round which the target cuts short takes what
+    lies before the cut, so that the document in which the target ends is taken in part.
+    """
     inside = Window.partitionBy("_key", "_block").orderBy("_u", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = attach(narrow, mix).withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("room") - F.col("_before")))
-    return rows.withColumn("taken", (F.col("rounds") * F.col("size") + part).cast("long"))
+    rows = rows.withColumn("_part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("room") - F.col("_before"))))
+    taken = F.expr("aggregate(drawn, 0L, (a, d) -> a + if(d.copy <= rounds, size, _part))")
+    return rows.withColumn("taken", F.coalesce(taken, F.lit(0)).cast("long"))
 
 
 def mixed_rows(docs: DataFrame, mix: MixPlan, narrow: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs as the mix has them: whole rows, repeated as often as they are taken, dealt to shards and shuffled within them.
+    """docs as the mix has them: whole rows, one for each draw of their block, dealt to its shard and shuffled within it.
 
-    A row of the block in which a target ends is taken once more if at least half of it lies within the target.
+    In the block in which a target ends, a row is taken once more if at least half of it lies within the target.
     """
-    ends = taken_words(narrow, mix, id_col).where("room > 0 and room < block_words and 2 * (taken - rounds * size) >= size and size > 0")
+    ends = taken_words(narrow, mix, id_col).where("room > 0 and room < block_words and 2 * _part >= size and size > 0")
     cuts = ends.groupBy("_key").agg(F.max("_u").alias("_cut"))
-    blocks = mix.blocks.join(cuts, "_key", "left")
-    rows = attach(hashed(docs, id_col, source_col, text_col, mix.seed), MixPlan(blocks, mix.shards, mix.seed))
-    more = F.when(F.col("room") == F.col("block_words"), F.col("room") > 0).otherwise((F.col("room") > 0) & (F.col("_u") <= F.col("_cut")))
-    rows = rows.withColumn("_times", F.col("rounds").cast("int") + F.coalesce(more.cast("int"), F.lit(0))).where("_times > 0 and size(shards) > 0")
-    rows = rows.select(*[F.col(c) for c in docs.columns], "_u", "shards", F.explode(F.expr("sequence(1, _times)")).alias("_copy"))
-    rows = rows.withColumn("_shard", F.element_at("shards", F.least("_copy", F.size("shards"))))
+    blocks = mix.blocks.join(cuts, "_key", "left").select("_key", "_block", "bits", "rounds", "room", "block_words", "drawn", "_cut")
+    rows = docs.select(common.packed_row(docs).alias("_row"), source_key(docs[source_col]).alias("_key"), common.unit_hash(docs[id_col], docs[text_col], seed=mix.seed).alias("_u"))
+    rows = attach(rows, MixPlan(blocks, mix.shards, mix.fine_bits, mix.seed)).withColumn("_draw", F.explode("drawn"))
+    rows = rows.where((F.col("_draw.copy") <= F.col("rounds")) | (F.col("room") == F.col("block_words")) | (F.col("_u") <= F.col("_cut")))
+    rows = rows.select("_row", "_u", F.col("_draw.copy").alias("_copy"), F.col("_draw.shard").alias("_shard"))
     shuffled = rows.repartition(mix.shards, "_shard").sortWithinPartitions("_shard", F.xxhash64("_u", "_copy", F.lit(mix.seed)))
-    return shuffled.select(*docs.columns)
+    return shuffled.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def narrow_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    rows = hashed(docs, id_col, source_col, text_col).select(F.col(id_col), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), "_key", "_u", "_fine")
+    """What the plan needs of each document: id, source, size, _key, _u."""
+    u = common.unit_hash(docs[id_col], docs[text_col], seed=SEED)
+    rows = docs.select(docs[id_col], docs[source_col].alias("source"), n_words(docs[text_col]).alias("size"), source_key(docs[source_col]).alias("_key"), u.alias("_u"))
     return common.write_shared(rows, "mix-narrow")
 
 
@@ -212,4 +235,4 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, **options
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     narrow = narrow_documents(common.documents(spark, sf_dir))
     mixed = taken_words(narrow, plan(narrow))
-    return mixed.select("doc_id", "size", F.col("words").alias("source_size"), "target", "taken", "source", F.element_at("shards", 1).alias("first_shard"))
+    return mixed.select("doc_id", "size", F.col("words").alias("source_size"), "target", "taken", "source", F.expr("get(drawn, 0).shard").alias("first_shard"))

@@ -17,8 +17,8 @@ Sets are compared by hashes of at least 52 bits; two different shingles of two d
 probability below 1e-10 for any pair that is compared.
 
 Nulls and texts without words have an empty set, link with nothing and are their own component. Fewer words than a
-shingle has are one shingle. Repeated rows link with each other. A null id never names a component. Other columns are
-left out of the result.
+shingle has are one shingle. Repeated rows link with each other. A null id never names a component. Very long texts are
+sets like others. An empty table gives an empty one. Ids are integers. Other columns are left out of the result.
 """
 
 from __future__ import annotations
@@ -93,7 +93,7 @@ def class_id(s: np.ndarray) -> int:
 
 
 def profile(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, n_shingles, cls): size and class of each document's set."""
+    """(doc_id, n_shingles, cls, mark): size and class of each document's set, and a hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -103,9 +103,14 @@ def profile(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
                 s = shingler(x.as_py())
                 sizes.append(len(s))
                 classes.append(class_id(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], names=["doc_id", "n_shingles", "cls"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), batch.column(2)], names=["doc_id", "n_shingles", "cls", "mark"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.tidy(run), "doc_id long, n_shingles long, cls long")
+    return docs.select(F.col("doc_id").cast("long"), "text", text_mark(docs["text"])).mapInArrow(common.tidy(run), "doc_id long, n_shingles long, cls long, mark long")
+
+
+def text_mark(text: Column) -> Column:
+    """A hash that tells apart the texts of rows that share an id."""
+    return F.xxhash64(text)
 
 
 def packed(docs: DataFrame, bits: int, words: int) -> DataFrame:
@@ -315,8 +320,8 @@ def jaccard_links(docs: DataFrame, words: int = SHINGLE_WORDS) -> tuple[DataFram
     return links, members.select("doc_id", "n_shingles", "cls", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
+def labelled(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, mark, n_shingles, label, component_id) for each row of docs; label names a component, whatever its ids are."""
     common.bounded_batches(docs.sparkSession)
     profiles = common.write_shared(profile(docs, words), "profiles")
     sets = shingle_sets(docs, profiles, words)
@@ -325,9 +330,36 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame
     named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     named = common.write_shared(named, "classes")
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    homes = named.join(least, "label").select("cls", "n_shingles", "component_id")
+    homes = named.join(least, "label").select("cls", "n_shingles", "label", "component_id")
     out = profiles.join(homes, ["cls", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "mark", "n_shingles", "label", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
+    return labelled(docs, words).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """docs with one row of each component: that of the smallest id (null last), then of the smallest hash of its text.
+
+    Different texts of one id are documents of their own. Empty texts link with nothing and stay; rows that share id and
+    text are one document, of which the row with the smallest hash of all columns stays.
+    """
+    found = common.write_shared(labelled(docs, words).select("doc_id", "mark", "label"), "components")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    firsts = found.where("label is not null").groupBy("label").agg(F.min(rank).alias("k"), F.count(F.lit(1)).alias("c")).where("c > 1").select("label", "k")
+    rest = found.join(firsts, "label").where(rank != F.col("k")).select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).distinct()
+    plain = docs.select(common.packed_row(docs).alias("_row"), F.col("doc_id").cast("long").alias("_id"), text_mark(docs["text"]).alias("_mark"))
+    kept = plain.join(rest, plain["_id"].eqNullSafe(rest["_d"]) & (plain["_mark"] == rest["_m"]), "left_anti")
+    repeated = found.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"))
+    repeated = common.write_shared(repeated, "repeated")
+    if repeated.take(1):
+        same = kept["_id"].eqNullSafe(repeated["_d"]) & (kept["_mark"] == repeated["_m"])
+        whole = F.xxhash64(F.to_json("_row"))
+        once = kept.join(repeated, same, "left_semi").groupBy("_id", "_mark").agg(F.min_by("_row", whole).alias("_row"))
+        kept = kept.join(repeated, same, "left_anti").select("_row").unionByName(once.select("_row"))
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Toxicity: a linear classifier of character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-Learning uses a bounded sample of labelled rows (at most SAMPLE_PER_LABEL of either label). Executors count in how many
-texts of either label each hashed n-gram occurs; the ratio of the two, in logarithms, scales the n-gram's presence, and
-the FEATURES n-grams that tell the labels apart best are kept. Logistic regression with an L2 penalty sets the weights.
-Labels are learned from alone; a score sees the text only.
+Executors count in how many texts of either label each hashed n-gram occurs, over all labelled rows that may be learned
+from; the ratio of the two, in logarithms, scales the n-gram's presence, and the FEATURES n-grams that tell the labels
+apart best are kept. Logistic regression with an L2 penalty sets the weights on a bounded sample (at most
+SAMPLE_PER_LABEL different rows of either label). Labels are learned from alone; a score sees the text only.
 
 Null and empty texts get a score from no n-grams. If there is nothing to learn from, every score is 0. Repeated rows get
-the same score. Rows whose id is null count as held out.
+the same score. Rows whose id is null count as held out. Texts are read whole, however long they are. A column of the
+new one's name gives way to it, all others stay. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import common
 from .chargrams import bounded_sample, codes, gram_ids
@@ -55,8 +57,8 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-min(max(z, -500.0), 500.0))))
 
 
-def ratios(texts: DataFrame) -> list[tuple[int, float]]:
-    """(id, log-count ratio) of the features; texts has (label int, text)."""
+def ratios(texts: DataFrame) -> tuple[list[tuple[int, float]], dict[int, int]]:
+    """(id, log-count ratio) of the features, and the number of texts of each label; texts has (label int, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, (1 << BITS) + 1), np.int32)
@@ -72,10 +74,10 @@ def ratios(texts: DataFrame) -> list[tuple[int, float]]:
     counts = common.write_shared(counts, "gram-counts")
     all_ = counts.where(F.col("id") == 1 << BITS).first()
     if all_ is None or not all_["n0"] or not all_["n1"]:
-        return []
+        return [], {}
     p, q = (F.col("n1") + SMOOTHING) / (all_["n1"] + 2 * SMOOTHING), (F.col("n0") + SMOOTHING) / (all_["n0"] + 2 * SMOOTHING)
     usable = counts.where((F.col("id") < 1 << BITS) & (F.col("n0") + F.col("n1") >= LEAST_TEXTS)).select("id", F.log(p / q).alias("r"), ((p - q) * F.log(p / q)).alias("gain"))
-    return [(x["id"], x["r"]) for x in usable.orderBy(F.desc("gain"), "id").limit(FEATURES).collect()]
+    return [(x["id"], x["r"]) for x in usable.orderBy(F.desc("gain"), "id").limit(FEATURES).collect()], {0: all_["n0"], 1: all_["n1"]}
 
 
 def fit(labels: np.ndarray, rows: list[np.ndarray], r: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
@@ -98,46 +100,55 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], r: np.ndarray, weight: np.nd
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = SAMPLE_PER_LABEL) -> Model:
-    """A model from labels (id, 0 or 1) and the texts of docs."""
+    """A model from labels (id, 0 or 1) and the texts of docs; an id that has both labels counts as toxic."""
     common.bounded_batches(docs.sparkSession)
-    known = labels.where(~common.held_out(id_col) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
-    known = known.groupBy("_id").agg(F.max("_label").alias("_label"))
-    sample = common.write_shared(bounded_sample(known, "_label", per_label, "_id"), "labelled")
-    texts = docs.join(F.broadcast(sample), docs[id_col] == sample["_id"]).select("_label", F.col(text_col).alias("_text"), "_id")  # at most 2 * per_label ids
-    best = sorted(ratios(texts.select("_label", "_text")))
-    if not best:
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(~common.held_out("id") & F.col("label").isin(0, 1))
+    known = known.groupBy("id").agg(F.max(F.col("label").cast("int")).alias("label"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = common.sized_join(rows, known, "id").select("id", "label", "text")
+    found, counts = ratios(texts.select("label", "text"))
+    if not found:
         return Model()
-    model = Model(np.array([i for i, _ in best], np.int32), np.zeros(len(best)), 0.0)
-    bare = docs.sparkSession.sparkContext.broadcast(model)
+    best = sorted(found)
+    bare = docs.sparkSession.sparkContext.broadcast(Model(np.array([i for i, _ in best], np.int32), np.zeros(len(best)), 0.0))
+    sample = bounded_sample(texts, per_label, 2, 2 * per_label, counts)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([bare.value.present(x.as_py()).astype("<i2").tobytes() for x in batch.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(2).cast(pa.int64()), batch.column(0), found], names=["id", "label", "at"])
+            found = pa.array([bare.value.present(x.as_py()).astype("<i2").tobytes() for x in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), found], names=["id", "label", "at"])
 
-    rows = texts.mapInArrow(common.tidy(featurise), "id long, label int, at binary").collect()  # bounded by the sample
-    rows.sort(key=lambda x: (x["id"], x["label"], bytes(x["at"])))
-    counts = dict(known.groupBy("_label").count().collect())
+    rows = sample.mapInArrow(common.tidy(featurise), "id string, label int, at binary").collect()  # bounded by the sample
+    rows.sort(key=lambda x: (len(x["id"]), x["id"], x["label"], bytes(x["at"])))
     y = np.array([x["label"] for x in rows], np.float64)
     weight = np.where(y == 1, counts[1] / max(1, (y == 1).sum()), counts[0] / max(1, (y == 0).sum()))
-    model.weights, model.bias = fit(y, [np.frombuffer(x["at"], "<i2") for x in rows], np.array([r for _, r in best]), weight)
-    return Model(model.ids, model.weights, model.bias)
+    weights, bias = fit(y, [np.frombuffer(x["at"], "<i2") for x in rows], np.array([r for _, r in best]), weight)
+    return Model(bare.value.ids, weights, bias)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with score and predicted; all columns stay."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
+    """docs with out_col; all other columns stay."""
     common.bounded_batches(docs.sparkSession)
-    names = docs.columns
-    where = names.index(text_col)
+    where = docs.columns.index(text_col)
+    kept, fields = common.others(docs, out_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m.score(x.as_py()) for x in batch.column(where)], pa.float64())], names=[*names, "toxicity"])
+            found = pa.array([m.score(x.as_py()) for x in batch.column(where)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), found], names=[*(f.name for f in fields), out_col])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "toxicity double"])
-    return docs.mapInArrow(common.tidy(run), schema)
+    return common.map_rows(docs, run, StructType([*fields, StructField(out_col, DoubleType())]))
+
+
+def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score below the threshold, with their columns as they are."""
+    common.bounded_batches(docs.sparkSession)
+    where = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights
+
+    return common.filter_rows(docs, lambda: lambda batch: [shared.value.score(x.as_py()) < threshold for x in batch.column(where)])
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,20 +4,24 @@ Texts are gathered into batches of about equal bytes; a text longer than SPLIT_C
 so one long text neither fills a batch by itself nor takes more than linear time. A vocabulary that drops white space
 never has a token across it: there each distinct run between white space is encoded once and its length kept.
 
-Nulls count as empty texts (0 tokens); repeated rows give repeated rows; extra columns are left out of the result.
+Nulls count as empty texts (0 tokens); repeated rows give repeated rows; extra columns are left out of the result. An
+empty table gives an empty one. Ids of any type are returned as they are.
 A text without any safe boundary is kept in one piece.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common
 
@@ -59,11 +63,42 @@ def library_counter(path: str) -> Callable[[list[str]], list[int]]:
     return lambda texts: [len(x) for x in encode(texts, add_special_tokens=False)]
 
 
+def drops_white_space(path: str) -> bool:
+    """Whether a vocabulary cuts texts at ASCII white space and drops it, by what its file says: then no token has any.
+
+    Such are tokenizers whose pre-tokenizers cut with a pattern and keep matches alone, if the pattern matches no white
+    space, or cut at white space itself, and whose normaliser and special tokens don't look across it.
+    """
+    if path.endswith(".model"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if any(re.search(r"\s", x["content"]) or x.get("lstrip") or x.get("rstrip") for x in spec.get("added_tokens", [])):
+        return False
+    first = spec.get("pre_tokenizer") or {}
+    first = first["pretokenizers"][0] if first.get("type") == "Sequence" and first.get("pretokenizers") else first
+    plain = all(n.get("type") in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents") or n.get("type") == "Replace" and (n.get("pattern") or {}).get("Regex") == r"\s+" and n.get("content") == " " for n in parts(spec.get("normalizer"), "normalizers"))
+    if first.get("type") in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer"):
+        return plain
+    pattern = (first.get("pattern") or {}).get("Regex")
+    if not plain or first.get("type") != "Split" or first.get("behavior") != "Removed" or not first.get("invert") or pattern is None:
+        return False
+    try:
+        return not any(regex.search(pattern, f"{a}{w}{b}") and any(w in m for m in regex.findall(pattern, f"{a}{w}{b}")) for w in "\t\n\x0b\x0c\r " for a in ("", "a", "1", "'", "!") for b in ("", "a", "1", "s", "!"))
+    except regex.error:
+        return False
+
+
+def parts(spec: dict | None, key: str) -> list[dict]:
+    """The steps of a sequence, or the one step."""
+    return [] if not spec else spec[key] if spec.get("type") == "Sequence" else [spec]
+
+
 class LengthCounter:
     """Numbers of tokens of texts. Where a vocabulary drops white space, each distinct word-like run is encoded once."""
 
-    def __init__(self, path: str, by_runs: bool):
-        self.count, self.by_runs = library_counter(path), by_runs
+    def __init__(self, path: str, by_runs: bool | None = None):
+        self.count, self.by_runs = library_counter(path), drops_white_space(path) if by_runs is None else by_runs
         self.known: dict[bytes, int] = {}
 
     def encode(self, texts: list[str]) -> list[int]:
@@ -98,26 +133,24 @@ class LengthCounter:
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = TOKEN_LIMIT) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for each row of docs. vocabulary: a file name among the public tokenizers, or a path.
 
-    Only vocabularies that drop white space (word_bpe_*) are split at white space; others get whole texts.
+    Texts are cut into their runs between white space where the vocabulary drops it; others are encoded whole.
     """
     common.bounded_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-    kind = narrow.schema[id_col].dataType
-    id_type = pa.int64() if kind.typeName() == "long" else pa.int32() if kind.typeName() == "integer" else pa.string()
-    schema = pa.schema([(id_col, id_type), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = None
         for batch in batches:
-            counter = counter or LengthCounter(vocabulary_path(vocabulary), "word_bpe" in vocabulary)
+            counter = counter or LengthCounter(vocabulary_path(vocabulary))
             text = pc.fill_null(batch.column(1), "")
             n_bytes = pc.binary_length(text).cast(pa.int64())
             totals: list[int] = []
             for a, b in common.slices(n_bytes.to_pylist(), BATCH_CHARS):
                 totals += counter(text.slice(a, b - a).to_pylist())
-            yield common.table(schema, batch.column(0).cast(id_type), n_bytes, totals)
+            yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(totals, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
 
-    return narrow.mapInArrow(common.tidy(run), f"{id_col} {kind.simpleString()}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    schema = StructType([narrow.schema[id_col], StructField("n_bytes", LongType()), StructField("n_tokens", LongType())])
+    return common.map_rows(narrow, run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def vocabulary_path(name: str) -> str:

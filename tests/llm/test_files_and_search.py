@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 
@@ -113,16 +114,38 @@ def test_topk_against_brute_force(spark):
     assert topk.top_k(v.where("false"), v.where("false")).count() == 0
 
 
-def test_tree_leaves_nodes_out():
+def test_balls_that_cannot_hold_a_better_score_are_left_out():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(c, 1, (500, 4)) for c in (-100, 0, 100)]).round()
-    t = topk.BallTree(x)
-    b = t.bounds(x[:3])
-    for node, parent in enumerate(t.parents):
-        assert parent < 0 or (b[:, node] <= b[:, parent]).all()
-    best = (x[:3] @ x.T).max(1)
-    leaves = [n for n, _, _ in t.leaves]
-    assert (b[:, leaves] < best[:, None]).mean() > 0.5
+    t = topk.BallTree.unpack(topk.BallTree(x, np.arange(len(x))).pack(), 4)
+    norms = np.sqrt((x[:3] ** 2).sum(1))
+    every = t.bounds(x[:3], norms, slice(None))
+    for node, (a, b) in enumerate(t.spans):
+        assert (every[:, node, None] >= x[:3] @ t.vectors[a:b].T).all()
+    floors = np.full(3, topk.NONE)
+    best, who, searched = topk.search(t, x[:3], np.arange(3), floors, 5)
+    leaves = int((t.first < 0).sum())
+    assert 3 <= searched < 3 * leaves / 2  # nodes above most leaves were never replaced
+    for q in range(3):
+        order = sorted((-int(x[q] @ y), i) for i, y in enumerate(x) if i != q)[:5]
+        assert [(-s, i) for s, i in zip(best[q].tolist(), who[q].tolist())] == order
+    _, _, again = topk.search(t, x[:3], np.arange(3), best[:, -1], 5)  # a floor from elsewhere spares leaves
+    assert again <= searched
+    assert topk.search(t, x[:3], np.arange(3), best[:, 0] + 1, 5)[2] < searched
+
+
+def test_topk_of_large_components_and_repeated_rows(spark):
+    big = [(0, [3e6, 1.0]), (50, [-5000.0, 2.5]), (1, [4e15, 0.25]), (2, [4e15, 0.5]), (3, [4e15, 0.5]), (3, [4e15, 0.5]), (4, [-1e300, 0.0]), (5, [1e300, 0.0]), (6, [7e299])]
+    v = spark.createDataFrame(big, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
+    got = {}
+    for r in topk.top_k(v, v.where("vec_id % 50 = 0"), k=9, shard_rows=3).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["score"], r["vec_id"])
+    ints = [(i, [math.floor(256 * x) if abs(x) < 1e15 else int(256 * x) for x in e]) for i, e in big]
+    clip = lambda s: max(-(1 << 63) + 1, min(s, (1 << 63) - 1))
+    for q in (0, 50):
+        e = dict(ints)[q]
+        want = sorted((-clip(sum(a * b for a, b in zip(e, c))), i) for i, c in ints if i != q)
+        assert [got[q][k + 1] for k in range(len(want))] == [(-s, i) for s, i in want]
 
 
 def test_licences(spark):

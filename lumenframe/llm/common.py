@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -107,6 +108,30 @@ def packed_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def hot_join(rows: DataFrame, counted: DataFrame, key: str, by: Column, most: int = 100_000) -> DataFrame:
+    """rows left-joined with counted (key, c, and other columns; c is the number of rows of the key), where any key may be hot.
+
+    Keys that hold more than 1 in most of all counted rows are at most that many, so they are broadcast; their rows then
+    go on under keys of their own, spread by another column, while all other keys meet in a shuffle.
+    """
+    total = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()["n"]
+    more = [c for c in counted.columns if c not in (key, "c")]
+    hot = counted.where(F.col("c") > max(1000, total // most)).select(F.col(key).alias("_hot"), F.struct(*more).alias("_at_once"))
+    rest = counted.where(F.col("c") <= max(1000, total // most)).select(F.col(key).cast("string").alias("_rest"), F.struct(*more).alias("_met"))
+    spread = rows.join(F.broadcast(hot), rows[key] == F.col("_hot"), "left")  # most rows at most
+    spread = spread.withColumn("_key", F.when(F.col("_hot").isNotNull(), F.concat(F.lit("hot "), F.xxhash64(by).cast("string"))).otherwise(F.col(key).cast("string")))
+    met = spread.join(rest, spread["_key"] == rest["_rest"], "left")
+    return met.select(*[rows[c] for c in rows.columns], *[F.coalesce(F.col("_at_once")[c], F.col("_met")[c]).alias(c) for c in more])
+
+
+def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder that Spark names, and its path there; names of Hadoop's connectors included."""
+    for hadoop, arrow in (("s3a://", "s3://"), ("s3n://", "s3://"), ("dbfs:/", "file:///dbfs/")):
+        if uri.startswith(hadoop):
+            uri = arrow + uri[len(hadoop) :].lstrip("/")
+    return pafs.FileSystem.from_uri(uri)
+
+
 def release() -> None:
     """Give freed memory back to the system: Python workers live on and serve stages of other needs."""
     pa.default_memory_pool().release_unused()

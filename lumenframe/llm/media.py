@@ -3,12 +3,13 @@
 store() writes each task's payloads into tar files of the shared folder, one member for each distinct content of a
 shard, named by its digest, and returns the manifest. metadata() fills columns from a range read of the header alone;
 contents() reads whole members. Shard files are written under a name of the attempt and only the manifest, which Spark
-commits, makes them count: a task that ran twice leaves a file that nothing refers to. A row's member is always in a
-shard that its own task wrote, so nothing is shuffled and a content that most rows share is no hot key.
+commits, makes them count: a task that ran twice leaves a file that nothing refers to. Payloads are written where they are
+read, so none is shuffled; addressed() then gives all rows of a digest one place, by a join of the narrow manifest in
+which hot digests are spread. A content that several tasks met has a copy in a shard of each, to which nothing refers.
 
 Texts become PNG pictures of 8-bit samples, 64 to a line, after padding with zero bytes to a positive multiple of 64.
-Null texts are empty ones: 64 zero bytes. Equal texts give equal values; repeated rows stay. Extra columns of docs
-besides the id are left out of the manifest.
+Null texts are empty ones: 64 zero bytes. Equal texts give equal values; repeated rows stay. A very long text is one
+payload like others. An empty table gives an empty one. Extra columns of docs besides the id are left out of the manifest.
 """
 
 from __future__ import annotations
@@ -91,9 +92,7 @@ class Shards:
     """Tar files of one task."""
 
     def __init__(self, folder: str, part: int):
-        from pyarrow import fs as pafs
-
-        self.fs, self.base = pafs.FileSystem.from_uri(folder)
+        self.fs, self.base = common.open_folder(folder)
         self.fs.create_dir(self.base, recursive=True)
         self.part, self.attempt, self.k = part, uuid.uuid4().hex[:12], 0
         self.out: pa.NativeFile | None = None
@@ -154,10 +153,8 @@ class Reader:
         self.key: tuple[str, str] | None = None
 
     def __call__(self, folder: str, shard: str, offset: int, length: int) -> bytes:
-        from pyarrow import fs as pafs
-
         if self.key != (folder, shard):
-            fs, base = pafs.FileSystem.from_uri(folder)
+            fs, base = common.open_folder(folder)
             self.key, self.file = (folder, shard), fs.open_input_file(f"{base}/{shard}")
         return self.file.read_at(length, offset)
 
@@ -200,7 +197,13 @@ def contents(manifest: DataFrame) -> DataFrame:
 
 def index(manifest: DataFrame) -> DataFrame:
     """One place for each digest."""
-    return manifest.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length", "folder")).alias("place")).select("digest", "place.*")
+    return manifest.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length", "folder")).alias("place"), F.count(F.lit(1)).alias("c")).select("digest", "place.*", "c")
+
+
+def addressed(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """manifest with the one place of each row's digest, whichever task wrote the row's own; no row needs another place."""
+    rows = manifest.drop("folder", "shard", "offset", "length")
+    return common.hot_join(rows, common.write_shared(index(manifest), "media-index"), "digest", F.col(id_col))
 
 
 def export_member(manifest_row: object) -> io.BytesIO:
@@ -209,5 +212,5 @@ def export_member(manifest_row: object) -> io.BytesIO:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = contents(metadata(store(common.documents(spark, sf_dir))))
+    rows = contents(metadata(addressed(store(common.documents(spark, sf_dir)))))
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")

@@ -30,6 +30,29 @@ def test_media(spark):
     assert media.store(docs.where("false")).count() == 0
 
 
+def test_a_digest_has_one_place_across_shards(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 3}", "mine") for i in range(2400)], "doc_id long, text string, shard string").repartition(6)
+    manifest = media.store(docs)
+    assert manifest.select("shard").distinct().count() > 1
+    rows = media.addressed(manifest).collect()
+    assert len(rows) == 2400 and len({(r["digest"], r["shard"], r["offset"], r["length"]) for r in rows}) == 3
+    assert {r["payload_sha256"] for r in media.contents(media.addressed(manifest)).collect()} == {hashlib.sha256(media.pad(f"text {k}".encode())).hexdigest() for k in range(3)}
+
+
+def test_archives_with_one_very_common_page(spark):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "the same error page" if i % 3 else f"page {i % 7}") for i in range(4000)], "page_id long, url string, html string")
+    rows = warc.whole(warc.read(warc.write(pages))).collect()
+    assert len(rows) == 4000 and sum(r["type"] == "response" for r in rows) == 8
+    common_page = [r for r in rows if r["refers_to"] == "urn:page:3998"]
+    assert len(common_page) == sum(bool(i % 3) for i in range(3998))
+
+
+def test_a_gap_in_archives_that_must_be_whole_is_an_error(spark):
+    broken = spark.createDataFrame([("a", bytearray(b"no archive"))], "name string, content binary")
+    with pytest.raises(Exception, match="a gap in a at 0"):
+        warc.whole(warc.read(broken)).collect()
+
+
 def test_shards_are_tar_files(spark, tmp_path):
     import tarfile
 

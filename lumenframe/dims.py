@@ -274,11 +274,11 @@ RESOLVE = [
     ("X/Z/U*", "remap_uid", "empty", "remove"),
 ]
 
-# Dummy texts by value representation.
+# Dummy values by value representation, in the order of VR; zeros of the numbers as text. Others are emptied.
 DUMMY = [
-    ("AE", "ANONYMOUS"), ("PN", "ANONYMOUS"), ("AS", "000Y"), ("CS", "ANON"), ("SH", "ANON"), ("DA", "19000101"), ("DS", "0"), ("IS", "0"),
-    ("DT", "19000101000000.000000"), ("TM", "000000.000000"), ("LO", "ANONYMIZED"), ("LT", "ANONYMIZED"), ("ST", "ANONYMIZED"),
-    ("UC", "ANONYMIZED"), ("UT", "ANONYMIZED"), ("UI", "2.25.0"), ("UR", "http://example.com"),
+    ("AE", "ANONYMOUS"), ("AS", "000Y"), ("AT", "00000000"), ("CS", "ANON"), ("DA", "19000101"), ("DS", "0"), ("DT", "19000101000000.000000"), ("FD", "0"), ("FL", "0"),
+    ("IS", "0"), ("LO", "ANONYMIZED"), ("LT", "ANONYMIZED"), ("PN", "ANONYMOUS"), ("SH", "ANON"), ("SL", "0"), ("SS", "0"), ("ST", "ANONYMIZED"), ("SV", "0"),
+    ("TM", "000000.000000"), ("UC", "ANONYMIZED"), ("UI", "2.25.0"), ("UL", "0"), ("UR", "http://example.com"), ("US", "0"), ("UT", "ANONYMIZED"), ("UV", "0"),
 ]
 
 # Codes of the de-identification methods by option.
@@ -287,6 +287,14 @@ METHOD_CODES = [
     ("rmod", "113107"), ("rpat", "113108"), ("rdev", "113109"), ("ruid", "113110"), ("rinst", "113112"),
 ]
 
+# Meanings of the codes of de-identification methods (context group 7050 of the standard).
+METHOD_MEANINGS = {
+    "113100": "Basic Application Confidentiality Profile", "113101": "Clean Pixel Data Option", "113102": "Clean Recognizable Visual Features Option", "113103": "Clean Graphics Option",
+    "113104": "Clean Structured Content Option", "113105": "Clean Descriptors Option", "113106": "Retain Longitudinal Temporal Information Full Dates Option",
+    "113107": "Retain Longitudinal Temporal Information Modified Dates Option", "113108": "Retain Patient Characteristics Option", "113109": "Retain Device Identity Option",
+    "113110": "Retain UIDs Option", "113111": "Retain Safe Private Option", "113112": "Retain Institution Identity Option",
+}
+
 # Modalities by the risk of text in their pixels.
 HIGH_RISK = ["US", "ES", "SC", "XC", "GM", "SM", "OP", "OPT", "ECG", "HD"]
 MODERATE_RISK = ["XA", "RF", "MG", "DX", "CR", "PX", "IO"]

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import tags, uids, values
 
 ACTIONS = [r[0] for r in dims.RESOLVE]
+MOST_ACTIONS = 10_000
 
 
 @dataclass(frozen=True)
@@ -113,11 +114,11 @@ def resolve_for(resolved: Column, vr: Column, value: Column) -> Column:
 
 
 def dummy(vr: Column) -> Column:
-    """A constant of the representation; null for representations without text."""
-    out = None
+    """A constant of the representation; empty for those of bytes and for sequences."""
+    out = F.when(F.lit(False), "")
     for name, text in dims.DUMMY:
-        out = F.when(vr == name, text) if out is None else out.when(vr == name, text)
-    return out
+        out = out.when(vr == name, text)
+    return out.otherwise("")
 
 
 def remap_uid(value: Column, options: DeidOptions, scope_key: Column | None = None) -> Column:
@@ -162,10 +163,37 @@ def creators(elements: DataFrame) -> DataFrame:
     return rows.select("file", tags.group(tag).alias("group_no"), tags.slot(tag).alias("slot"), values.creator_key(F.col("value")).alias("creator"))
 
 
+def item_key(elements: DataFrame) -> list[str]:
+    """What tells a data set apart: its file, and its item where rows have the path of one."""
+    return ["file", "item_path"] if "item_path" in elements.columns else ["file"]
+
+
+def with_actions(elements: DataFrame, table: DataFrame) -> DataFrame:
+    """elements with the columns of their row of the action table: that of the very tag, else of a pattern (tag, mask) that fits.
+
+    A table of the standard has some hundred rows; one above MOST_ACTIONS is no such table.
+    """
+    if table.limit(MOST_ACTIONS + 1).count() > MOST_ACTIONS:
+        raise ValueError(f"an action table of more than {MOST_ACTIONS} rows")
+    cells = ["basic", *dims.DEID_OPTIONS]
+    if "mask" not in table.columns:
+        return elements.join(F.broadcast(table.select("tag", *cells)), "tag", "left")
+    whole = F.coalesce(F.col("mask"), F.lit(0xFFFFFFFF)) == 0xFFFFFFFF
+    rows = elements.join(F.broadcast(table.where(whole).select("tag", *cells)), "tag", "left")
+    patterns = table.where(~whole).select("tag", "mask", *cells).orderBy(F.desc(F.bit_count("mask")), "tag").collect()  # at most MOST_ACTIONS
+    listed = F.coalesce(*[F.col(c) for c in cells]).isNotNull()
+    for c in cells:
+        found = F.when(listed, F.col(c))
+        for p in patterns:
+            found = found.when(F.col("tag").bitwiseAND(F.lit(p["mask"])) == p["tag"] & p["mask"], F.lit(p[c]).cast("string"))
+        rows = rows.withColumn(f"_{c}", found)
+    return rows.drop(*cells).withColumnsRenamed({f"_{c}": c for c in cells})
+
+
 def decide(elements: DataFrame, table: DataFrame, options: DeidOptions) -> DataFrame:
     """elements (file, patient_id, tag, vr, value) with code (the action) and resolved (what is done)."""
     tag = F.col("tag")
-    rows = elements.join(F.broadcast(table), "tag", "left")  # a table of the standard: some hundred rows
+    rows = with_actions(elements, table)
     unlisted = F.lit("X" if options.unknown == "remove" else "K")
     code = F.coalesce(action(options), unlisted)
     for t, a in options.overrides.items():
@@ -173,10 +201,8 @@ def decide(elements: DataFrame, table: DataFrame, options: DeidOptions) -> DataF
     resolved = resolve_for(resolve(code, options.attribute_type), F.col("vr"), F.col("value"))
     private = F.lit("remove")
     if options.private == "keep_safe":
-        # one window over a file's rows of a group and slot: its creator is among them, and no file is large
-        from pyspark.sql import Window
-
-        block = Window.partitionBy("file", tags.group(tag), tags.slot(tag))
+        # one window over a data set's rows of a group and slot: its creator is among them, and no file is large
+        block = Window.partitionBy(*item_key(elements), tags.group(tag), tags.slot(tag))
         own = F.max(F.when(tags.is_private_creator(tag), values.creator_key(F.col("value")))).over(block)
         rows = rows.withColumn("_safe", tags.is_private(tag) & F.coalesce(own.isin(*[c.strip().upper() for c in options.safe_creators]), F.lit(False)))
         private = F.when(F.col("_safe"), "keep").otherwise("remove")
@@ -188,21 +214,23 @@ def decide(elements: DataFrame, table: DataFrame, options: DeidOptions) -> DataF
 
 
 def apply(decided: DataFrame, options: DeidOptions) -> DataFrame:
-    """decided with new_value (null where the row goes) and outcome, by the row's resolved action and the date shift."""
+    """decided with new_value (null where the row goes) and outcome, by the row's resolved action and the date shift.
+
+    Values of any representation are emptied and replaced: numbers by zeros, bytes by none.
+    """
     vr, value = F.col("vr"), F.col("value")
-    text = tags.is_string(vr)
-    cleaned = F.when(text, dummy(vr)).otherwise(value)
+    cleaned = dummy(vr)
     if options.shift is not None and options.shift_first:  # a shift takes the place of cleaning dates, or intervals are lost
         cleaned = F.when(vr.isin("DA", "DT", "TM"), value).otherwise(cleaned)
     done = (
         F.when(F.col("resolved") == "remove", None)
-        .when(F.col("resolved") == "empty", F.when(text, F.lit("")).otherwise(value))
-        .when(F.col("resolved") == "dummy", F.when(text, dummy(vr)).otherwise(value))
+        .when(F.col("resolved") == "empty", F.lit(""))
+        .when(F.col("resolved") == "dummy", dummy(vr))
         .when(F.col("resolved") == "clean", cleaned)
-        .when(F.col("resolved") == "remap_uid", remap_uid(value, options))
+        .when(F.col("resolved") == "remap_uid", remap_uid(value, options, F.col("_scope")))
         .otherwise(value)
     )
-    rows = decided.withColumn("new_value", done)
+    rows = with_scope(decided, options).withColumn("new_value", done).drop("_scope")
     if options.shift is not None:
         moved = shifted(vr, F.col("new_value"), F.col("patient_id"), options.shift)
         movable = F.col("resolved").isin("keep", "clean") & vr.isin("DA", "DT", "TM")
@@ -212,12 +240,30 @@ def apply(decided: DataFrame, options: DeidOptions) -> DataFrame:
     return rows
 
 
-def markers(files: DataFrame, options: DeidOptions) -> DataFrame:
-    """The rows that say how each file (file) was de-identified."""
+def with_scope(elements: DataFrame, options: DeidOptions) -> DataFrame:
+    """elements with _scope: what UIDs are remapped in. batch is one scope; study and dataset have one for each of them."""
+    if options.scope == "dataset":
+        return elements.withColumn("_scope", F.concat(F.lit("dataset "), "file"))
+    if options.scope == "study":
+        study = F.max(F.when(F.col("tag") == dims.KEYWORD["StudyInstanceUID"], F.trim("value"))).over(Window.partitionBy("file"))
+        return elements.withColumn("_scope", F.concat(F.lit("study "), F.coalesce(study, F.col("file"))))
+    return elements.withColumn("_scope", F.lit(options.scope))
+
+
+def method_codes(options: DeidOptions) -> list[str]:
     codes = dict(dims.METHOD_CODES)
+    return [codes["basic"], *[codes[o] for o in options.options]]
+
+
+def marker_values(options: DeidOptions) -> list[tuple[int, str, str]]:
+    """(tag, representation, value) of what says how a data set was de-identified."""
     mark = "UNMODIFIED" if "rfull" in options.options else "MODIFIED" if "rmod" in options.options or options.shift else "REMOVED"
-    made = [(dims.KEYWORD["PatientIdentityRemoved"], "CS", "YES"), (dims.KEYWORD["DeidentificationMethod"], "LO", "\\".join([codes["basic"], *[codes[o] for o in options.options]])), (dims.KEYWORD["LongitudinalTemporalInformationModified"], "CS", mark)]
-    rows = F.array(*[F.struct(F.lit(t).cast("long").alias("tag"), F.lit(vr).alias("vr"), F.lit(v).alias("value")) for t, vr, v in made])
+    return [(dims.KEYWORD["PatientIdentityRemoved"], "CS", "YES"), (dims.KEYWORD["DeidentificationMethod"], "LO", "\\".join(method_codes(options))), (dims.KEYWORD["LongitudinalTemporalInformationModified"], "CS", mark)]
+
+
+def markers(files: DataFrame, options: DeidOptions) -> DataFrame:
+    """The rows that say how each file (file) was de-identified."""
+    rows = F.array(*[F.struct(F.lit(t).cast("long").alias("tag"), F.lit(vr).alias("vr"), F.lit(v).alias("value")) for t, vr, v in marker_values(options)])
     return files.select("file", F.explode(rows).alias("m")).select("file", "m.tag", "m.vr", "m.value")
 
 
@@ -251,9 +297,9 @@ def deidentify(elements: DataFrame, table: DataFrame, options: DeidOptions) -> D
 
 def uid_map(elements: DataFrame, options: DeidOptions) -> DataFrame:
     """(scope, original_uid, remapped_uid): the mapping that a run uses, one row a UID."""
-    one = elements.where("vr = 'UI'").select(F.explode(values.split_values(F.col("value"))).alias("original_uid")).where("original_uid <> ''").distinct()
+    one = with_scope(elements, options).where("vr = 'UI'").select(F.col("_scope").alias("scope"), F.explode(values.split_values(F.col("value"))).alias("original_uid")).where("original_uid <> ''").distinct()
     one = one.where(~F.col("original_uid").startswith(uids.REGISTERED))
-    return one.select(F.lit(options.scope).alias("scope"), "original_uid", uids.from_seed(F.concat(F.lit(options.salt), F.lit(options.scope), F.trim("original_uid"))).alias("remapped_uid"))
+    return one.select("scope", "original_uid", uids.from_seed(F.concat(F.lit(options.salt), "scope", F.trim("original_uid"))).alias("remapped_uid"))
 
 
 def burned_in_risk(flag: Column, modality: Column, image_type: Column) -> Column:

@@ -35,7 +35,7 @@ def _part(v: Column, at: int, n: int = 2) -> Column:
 
 
 def _digits(v: Column) -> Column:
-    return v.rlike("^[0-9]*$")
+    return v.rlike(r"\A[0-9]+\z")
 
 
 def _outside(v: Column, low: int, high: int) -> Column:
@@ -211,7 +211,8 @@ def issues(elements: DataFrame, rules: list[str] | str = "all", custom: dict[str
     """A row for each rule that an element (.., vr, value) fails: its columns, rule_id, code and severity. custom adds rules."""
     named = {k: RULES[k] for k in (SETS[rules] if isinstance(rules, str) else rules)} | (custom or {})
     found = F.array(*[F.struct(F.lit(k).alias("rule_id"), rule(F.col("value"), F.col("vr")).alias("i")) for k, rule in named.items()])
-    rows = elements.withColumn("_i", F.explode(found)).where("_i.i is not null and _i.i.severity <> ''")
+    failed = F.filter(found, lambda x: x["i"].isNotNull() & (x["i"]["severity"] != ""))  # before rows are made of them
+    rows = elements.withColumn("_i", F.explode(failed))
     return rows.select(*elements.columns, "_i.rule_id", "_i.i.code", "_i.i.severity")
 
 

@@ -9,7 +9,9 @@ from .. import dims
 from ..functions import uids
 from ..operators import deid as d
 from ..operators import pixels, private
-from . import bridge
+from ..sources.deid_files import deidentify_files as deid_files_of
+from ..sources.deid_files import element_rows
+from . import bridge, q_pixels
 
 W = bridge.with_views
 BASIC = d.DeidOptions.basic()
@@ -41,12 +43,52 @@ def deid_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deid_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = d.deidentify(_elements(spark, sf_dir), dims.dim_deid(spark), BASIC)
-    return done.where("vr <> 'UI'").groupBy("tag", "vr", "value").agg(F.count(F.lit(1)).alias("n"))
+    return uid_sums(done)
+
+
+def uid_sums(rows: DataFrame) -> DataFrame:
+    """Rows by value; UIDs, of which each file has its own, as the sum of a hash of each."""
+    uid = F.col("vr") == "UI"
+    digest = F.conv(F.substring(F.md5(F.when(uid, F.col("value"))), 1, 8), 16, 10).cast("long")
+    shown = rows.select("tag", "vr", F.when(~uid, F.col("value")).alias("value"), digest.alias("d"))
+    return shown.groupBy("tag", "vr", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("uid_sum"))
+
+
+def deid_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of the images' elements, de-identified as files and read again."""
+    made = q_pixels.files(spark, sf_dir)
+    done = deid_files_of(made, dims.dim_deid(spark), BASIC)
+    return uid_sums(element_rows(done.where("error is null"), "failfast"))
+
+
+def deid_any_vr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers are emptied and replaced like texts."""
+    o = BASIC.with_override(0x00280010, "Z").with_override(0x00280011, "D")
+    done = _done(spark, sf_dir, o)
+    return done.groupBy("tag", "vr", "resolved").agg(F.count_if(F.col("new_value") == "").alias("n_empty"), F.count_if(F.col("new_value") == "0").alias("n_zero"))
+
+
+def deid_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An action table with patterns of tags: the very tag counts before a pattern."""
+    table = spark.createDataFrame([(0x00080000, 0xFFFF0000, "D"), (0x00100000, 0xFFFF0000, "Z"), (0x00100020, 0xFFFFFFFF, "K")], "tag long, mask long, basic string")
+    for o in dims.DEID_OPTIONS:
+        table = table.withColumn(o, F.lit(None).cast("string"))
+    return d.decide(_elements(spark, sf_dir), table, BASIC).groupBy("tag", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+def deid_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many UIDs stand for the study's and the class's in each scope."""
+    out = None
+    for scope in ("batch", "study", "dataset"):
+        done = _done(spark, sf_dir, d.DeidOptions(scope=scope)).where("resolved = 'remap_uid'")
+        rows = done.groupBy("tag").agg(F.count_distinct("new_value").alias("n_uids")).withColumn("scope", F.lit(scope))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def deid_keep_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = d.deidentify(_elements(spark, sf_dir), dims.dim_deid(spark), KEEP)
-    return done.where("vr <> 'UI'").groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return done.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
 
 
 def deid_override(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +226,7 @@ def vendor_creators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge.parts(spark, sf_dir).groupBy(F.upper(F.trim("creator")).alias("key")).agg(F.min("creator").alias("first_name"), F.count(F.lit(1)).alias("n_tags"))
 
 
-QUERIES = {f.__name__: f for f in (deid_action, deid_option_precedence, deid_resolve, deid_apply, deid_keep_profile, deid_override, deid_dummy, deid_uid_deterministic, deid_uid_from_name, deid_uid_from_uuid, deid_uid_standard_kept, deid_uid_consistency, deid_uid_map, deid_date_per_patient, deid_markers, deid_summary, deid_batch, deid_burnedin_risk, deid_redaction_clip, private_creator_join, private_orphans, private_strip, private_alloc_slot, private_compact, private_renumbered, private_add, vendor_lookup, vendor_creators)}
+QUERIES = {f.__name__: f for f in (deid_action, deid_option_precedence, deid_resolve, deid_apply, deid_files, deid_any_vr, deid_masked, deid_scopes, deid_keep_profile, deid_override, deid_dummy, deid_uid_deterministic, deid_uid_from_name, deid_uid_from_uuid, deid_uid_standard_kept, deid_uid_consistency, deid_uid_map, deid_date_per_patient, deid_markers, deid_summary, deid_batch, deid_burnedin_risk, deid_redaction_clip, private_creator_join, private_orphans, private_strip, private_alloc_slot, private_compact, private_renumbered, private_add, vendor_lookup, vendor_creators)}
 QUERIES |= {"deid_date_fixed": _dates(d.DateShift("fixed", days=-100)), "deid_date_removetime": _dates(d.DateShift.clinical_trial()), "deid_date_remove": _dates(d.DateShift("remove"))}
 
 _DEID = "deid(tag, " + ", ".join(["basic", *dims.DEID_OPTIONS]) + ")"
@@ -198,6 +240,8 @@ _BY = lambda h, order: " || ".join(f"substring({h}, {2 * i + 1}, 2)" for i in or
 _SWAP = [3, 2, 1, 0, 5, 4, 7, 6, 8, 9, 10, 11, 12, 13, 14, 15]
 _SEED = lambda s: f"(SELECT '2.25.' || {_HEX('(' + _BY('m', _SWAP) + ')')} FROM (SELECT h[1:12] || '5' || h[14:16] || translate(h[17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:32] AS m FROM (SELECT sha256({s}) AS h)))"
 _DATE = lambda days, v="value": f"CASE WHEN regexp_matches({v}, '^[0-9]{{8}}') THEN strftime(strptime({v}[1:8], '%Y%m%d') + INTERVAL ({days}) DAY, '%Y%m%d') || {v}[9:] ELSE {v} END"
+_REMAP = "CASE WHEN value = '' OR starts_with(value, '1.2.840.10008.') THEN value ELSE " + _SEED("'saltbatch' || value") + " END"
+_SUMS = "SELECT tag, vr, CASE vr WHEN 'UI' THEN NULL ELSE value END AS value, count(*) AS n, CAST(sum(CASE vr WHEN 'UI' THEN ('0x' || substring(md5(value), 1, 8))::BIGINT END) AS BIGINT) AS uid_sum FROM ("
 _DATED = W("elements", more="dd AS (SELECT tag, vr, value, patient_id FROM elements WHERE vr IN ('DA', 'DT', 'TM'))")
 _KEEPCODE = "coalesce(rdev, rinst, rmod, cdesc, basic, 'K')"
 _PE = W("parts", more="p50 AS (SELECT *, file % 50 AS f50 FROM parts), pe AS (SELECT DISTINCT f50 AS file, CAST(grp AS BIGINT) * 65536 + slot AS tag, 'LO' AS vr, 'CREATOR ' || CAST(slot AS VARCHAR) AS value FROM p50 WHERE has_creator UNION ALL SELECT f50, CAST(grp AS BIGINT) * 65536 + slot * 256 + \"offset\", 'LO', value FROM p50), pc AS (SELECT file, CAST(tag // 65536 AS INT) AS group_no, CAST(tag % 65536 AS INT) AS slot, value AS creator FROM pe WHERE tag % 65536 < 256)")
@@ -207,10 +251,14 @@ SQL = {
     "deid_action": _BASIC + "SELECT tag, code, resolved, count(*) AS n FROM b GROUP BY ALL",
     "deid_option_precedence": f"SELECT CAST(tag AS BIGINT) AS tag, coalesce(ruid, rdev, rfull, rmod, cdesc, basic) AS code, coalesce(rmod, basic) AS code_modified FROM {_TABLE}",
     "deid_resolve": f"SELECT code, kind, CASE kind WHEN 1 THEN a WHEN 2 THEN b ELSE c END AS resolved FROM (VALUES {dims.values_sql(dims.RESOLVE)}) r(code, a, b, c), (SELECT DISTINCT CAST(p_partkey % 3 + 1 AS INT) AS kind FROM part)",
-    "deid_apply": _BASIC + f"SELECT tag, vr, value, count(*) AS n FROM (SELECT tag, b.vr, CASE resolved WHEN 'empty' THEN '' WHEN 'dummy' THEN dummy WHEN 'clean' THEN dummy ELSE value END AS value FROM b LEFT JOIN {_DUMMY} ON dum.vr = b.vr WHERE resolved <> 'remove' UNION ALL SELECT m.tag, m.vr, m.value FROM (SELECT DISTINCT file FROM b), (VALUES ({dims.KEYWORD['PatientIdentityRemoved']}, 'CS', 'YES'), ({dims.KEYWORD['DeidentificationMethod']}, 'LO', '113100'), ({dims.KEYWORD['LongitudinalTemporalInformationModified']}, 'CS', 'REMOVED')) m(tag, vr, value)) WHERE vr <> 'UI' GROUP BY ALL",
-    "deid_keep_profile": W("elements", more=f"a AS (SELECT e.*, CASE WHEN {_PRIV} THEN CASE WHEN tag // 65536 = 41 THEN 'K' ELSE 'X' END ELSE {_KEEPCODE} END AS code FROM elements e LEFT JOIN {_TABLE} USING (tag)), b AS (SELECT a.*, dummy, {_RES3.format('code')} AS r FROM a LEFT JOIN {_DUMMY} ON dum.vr = a.vr), c AS (SELECT tag, vr, CASE WHEN r IN ('keep', 'clean') AND vr IN ('DA', 'DT') THEN {_DATE(-100)} WHEN r = 'clean' AND vr <> 'TM' THEN dummy WHEN r = 'dummy' THEN dummy WHEN r = 'empty' THEN '' ELSE value END AS value FROM b WHERE r <> 'remove' UNION ALL SELECT m.tag, m.vr, m.value FROM (SELECT DISTINCT file FROM b), (VALUES ({dims.KEYWORD['PatientIdentityRemoved']}, 'CS', 'YES'), ({dims.KEYWORD['DeidentificationMethod']}, 'LO', '113100' || chr(92) || '113109' || chr(92) || '113112' || chr(92) || '113107' || chr(92) || '113105'), ({dims.KEYWORD['LongitudinalTemporalInformationModified']}, 'CS', 'MODIFIED')) m(tag, vr, value))") + "SELECT tag, count(*) AS n, min(value) AS least, max(value) AS most FROM c WHERE vr <> 'UI' GROUP BY tag",
+    "deid_apply": _BASIC + _SUMS + f"SELECT tag, b.vr, CASE resolved WHEN 'empty' THEN '' WHEN 'dummy' THEN coalesce(dummy, '') WHEN 'clean' THEN coalesce(dummy, '') WHEN 'remap_uid' THEN {_REMAP} ELSE value END AS value FROM b LEFT JOIN {_DUMMY} ON dum.vr = b.vr WHERE resolved <> 'remove' UNION ALL SELECT m.tag, m.vr, m.value FROM (SELECT DISTINCT file FROM b), (VALUES ({dims.KEYWORD['PatientIdentityRemoved']}, 'CS', 'YES'), ({dims.KEYWORD['DeidentificationMethod']}, 'LO', '113100'), ({dims.KEYWORD['LongitudinalTemporalInformationModified']}, 'CS', 'REMOVED')) m(tag, vr, value)) GROUP BY ALL",
+    "deid_files": _BASIC.replace("FROM elements e LEFT JOIN", "FROM (SELECT DISTINCT * FROM elements WHERE tag <> 2576980377) e LEFT JOIN") + _SUMS + f"SELECT tag, b.vr, CASE resolved WHEN 'empty' THEN '' WHEN 'dummy' THEN coalesce(dummy, '') WHEN 'clean' THEN coalesce(dummy, '') WHEN 'remap_uid' THEN {_REMAP} ELSE value END AS value FROM b LEFT JOIN {_DUMMY} ON dum.vr = b.vr WHERE resolved <> 'remove' UNION ALL SELECT m.tag, m.vr, m.value FROM (SELECT DISTINCT file FROM b), (VALUES ({dims.KEYWORD['PatientIdentityRemoved']}, 'CS', 'YES'), ({dims.KEYWORD['DeidentificationMethod']}, 'LO', '113100'), ({dims.KEYWORD['LongitudinalTemporalInformationModified']}, 'CS', 'REMOVED'), (1179748, 'SQ', ''), (524544, 'SH', '113100'), (524546, 'SH', 'DCM'), (524548, 'LO', 'Basic Application Confidentiality Profile')) m(tag, vr, value)) GROUP BY ALL",
+    "deid_any_vr": _BASIC + "SELECT tag, vr, CASE tag WHEN 2621456 THEN 'empty' WHEN 2621457 THEN 'dummy' ELSE resolved END AS resolved, count(*) FILTER (tag = 2621456 OR resolved = 'empty' OR (resolved = 'keep' AND value = '')) AS n_empty, count(*) FILTER (tag = 2621457) AS n_zero FROM b GROUP BY ALL",
+    "deid_masked": W("elements") + "SELECT tag, CASE WHEN (tag // 65536) % 2 = 1 THEN 'private' WHEN tag = 1048608 THEN 'K' WHEN tag // 65536 = 8 THEN 'D' WHEN tag // 65536 = 16 THEN 'Z' ELSE 'X' END AS code, count(*) AS n FROM elements GROUP BY ALL",
+    "deid_scopes": W("images") + "SELECT CAST(t AS BIGINT) AS tag, scope, count(DISTINCT CASE WHEN scope = 'batch' THEN v WHEN scope = 'study' THEN study_uid || ' ' || v ELSE sop_uid || ' ' || v END) AS n_uids FROM (SELECT sop_uid, study_uid, t, CASE t WHEN 524312 THEN sop_uid WHEN 2097165 THEN study_uid ELSE series_uid END AS v FROM images, (VALUES (524312), (2097165), (2097166)) u(t)), (VALUES ('batch'), ('study'), ('dataset')) s(scope) GROUP BY ALL",
+    "deid_keep_profile": W("elements", more=f"a AS (SELECT e.*, CASE WHEN {_PRIV} THEN CASE WHEN tag // 65536 = 41 THEN 'K' ELSE 'X' END ELSE {_KEEPCODE} END AS code FROM elements e LEFT JOIN {_TABLE} USING (tag)), b AS (SELECT a.*, dummy, {_RES3.format('code')} AS r FROM a LEFT JOIN {_DUMMY} ON dum.vr = a.vr), c AS (SELECT tag, vr, CASE WHEN r IN ('keep', 'clean') AND vr IN ('DA', 'DT') THEN {_DATE(-100)} WHEN r = 'clean' AND vr <> 'TM' THEN coalesce(dummy, '') WHEN r = 'dummy' THEN coalesce(dummy, '') WHEN r = 'empty' THEN '' WHEN r = 'remap_uid' THEN {_REMAP} ELSE value END AS value FROM b WHERE r <> 'remove' UNION ALL SELECT m.tag, m.vr, m.value FROM (SELECT DISTINCT file FROM b), (VALUES ({dims.KEYWORD['PatientIdentityRemoved']}, 'CS', 'YES'), ({dims.KEYWORD['DeidentificationMethod']}, 'LO', '113100' || chr(92) || '113109' || chr(92) || '113112' || chr(92) || '113107' || chr(92) || '113105'), ({dims.KEYWORD['LongitudinalTemporalInformationModified']}, 'CS', 'MODIFIED')) m(tag, vr, value))") + "SELECT tag, count(*) AS n, min(value) AS least, max(value) AS most FROM c GROUP BY tag",
     "deid_override": W("elements") + "SELECT tag, CASE tag WHEN 1048592 THEN 'K' ELSE 'D' END AS code, CASE tag WHEN 1048592 THEN 'keep' ELSE 'dummy' END AS resolved, count(*) AS n, CASE tag WHEN 1048592 THEN max(value) ELSE 'ANON' END AS most FROM elements WHERE tag IN (1048592, 524384) GROUP BY tag",
-    "deid_dummy": f"SELECT v.vr, dummy FROM (VALUES {', '.join(repr((r[0],)).replace(',)', ')') for r in dims.VR)}) v(vr) LEFT JOIN {_DUMMY} ON dum.vr = v.vr",
+    "deid_dummy": f"SELECT v.vr, coalesce(dummy, '') AS dummy FROM (VALUES {', '.join(repr((r[0],)).replace(',)', ')') for r in dims.VR)}) v(vr) LEFT JOIN {_DUMMY} ON dum.vr = v.vr",
     "deid_uid_deterministic": W("studies") + f"SELECT study_uid, {_SEED('study_uid')} AS remapped FROM studies",
     "deid_uid_from_name": W("patients") + f"SELECT patient_name, substring('1.2.826.' || {_HEX('(' + _BY('sha256(patient_name)', range(15, -1, -1)) + ')')}, 1, 64) AS uid FROM patients",
     "deid_uid_from_uuid": W("patients") + f"SELECT patient_id, '2.25.' || {_HEX('md5(patient_id)')} AS uid, '2.25.' || {_HEX('(' + _BY('md5(patient_id)', _SWAP[::-1]) + ')')} AS uid_le FROM patients",

@@ -14,6 +14,7 @@ from ..codecs import registry, wavelet
 from ..functions import values
 from ..operators import pixels
 from ..sources import reader
+from ..sources.encode import Node, encode
 from . import bridge
 
 W = bridge.with_views
@@ -111,21 +112,38 @@ def parse_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reader.elements(files(spark, sf_dir), "failfast").groupBy("tag", "vr").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("values")).alias("n_values"), F.sum("len").alias("n_bytes"))
 
 
-def seq_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as sequences of items: the rows of their nested elements with the path of each item."""
+def nested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, content): a file for each conversation, with a sequence of an item a turn; some items have a character set of their own."""
     c = bridge.read(spark, sf_dir, "conversations")
-    rows = F.array(F.struct(F.lit(0x00081030).cast("long").alias("tag"), F.col("role").alias("value")), F.struct(F.lit(0x00104000).cast("long").alias("tag"), F.col("text").alias("value")))
-    return c.select(F.col("conv_id").alias("file"), F.array(F.struct(F.lit(0x0040A730).cast("long").alias("tag"), F.col("turn").alias("item"))).alias("item_path"), F.explode(rows).alias("e")).select("file", F.size("item_path").alias("depth"), F.col("item_path")[0]["item"].alias("item"), "e.tag", F.length("e.value").alias("n_chars"))
+    turns = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))  # those of one conversation
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for conv, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                items = []
+                for r in rows:
+                    own = (conv + r["turn"]) % 4 == 0
+                    codec = "utf-8" if own else "latin-1"
+                    mine = [Node(0x00080005, "CS", b"ISO_IR 192")] if own else []
+                    items.append([*mine, Node(0x00081030, "LO", (r["role"] or "").encode(codec, "replace")), Node(0x00104000, "LT", ("\u00e9" + str(r["turn"])).encode(codec)), Node(0x00281052, "DS", str(len(r["text"] or "")).encode())])
+                nodes = [Node(0x00080005, "CS", b"ISO_IR 100"), Node(0x00080016, "UI", b"1.2.840.10008.5.1.4.1.1.88.11"), Node(0x00080018, "UI", f"1.2.3.{conv}".encode()), Node(0x0040A730, "SQ", items=items)]
+                out.append(encode(nodes, dims.EXPLICIT_LE, defined_lengths=conv % 2 == 0))
+            yield pa.RecordBatch.from_arrays([pa.array([str(x) for x in batch.column(0).to_pylist()]), pa.array(out, pa.binary())], names=["file", "content"])
 
-def seq_inherit_charset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The character set of each item: its own, or the last one before it in the file, or the file's."""
-    from pyspark.sql import Window
+    return turns.mapInArrow(run, "file string, content binary")
 
-    c = bridge.read(spark, sf_dir, "conversations")
-    own = F.when(F.col("turn") == 0, "ISO_IR 100").when((F.col("conv_id") + F.col("turn")) % 4 == 0, "ISO_IR 192")
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return c.select("conv_id", "turn", own.alias("own")).select("conv_id", "turn", F.last("own", ignorenulls=True).over(w).alias("charset"))
+
+def seq_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elements of nested files, by the parser: each with its depth and item."""
+    e = reader.elements(nested_files(spark, sf_dir), "failfast").where("depth > 0")
+    return e.select("file", "depth", F.col("item_path")[0]["tag"].alias("sequence"), F.col("item_path")[0]["item"].alias("item"), "tag", F.col("values")[0].alias("value"))
+
+
+def seq_inherit_charset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of each item by its own character set or its parent's, never a sibling's; and the bytes that it was read from."""
+    e = reader.elements(nested_files(spark, sf_dir), "failfast").where("depth = 1 and tag = 1064960")
+    return e.select("file", F.col("item_path")[0]["item"].alias("item"), F.col("values")[0].alias("value"), F.lower(F.hex(F.expr("substring(raw, 1, 1)"))).alias("first_byte"))
 
 
 def redact_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,6 +158,7 @@ QUERIES |= {"rle_roundtrip": _roundtrip(dims.RLE_SYNTAX, 16), "jpeg_lossless_rou
 _S = "WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor((CAST(x AS DOUBLE) + 1) * 127) AS INT)) AS s FROM embeddings) "
 _C = lambda e: f"CAST(greatest(0, least(255, trunc({e} + 0.5))) AS INT)"
 _HEX = "lower(array_to_string(list_transform({}, lambda x: printf('%02x', x)), ''))"
+_TURNS = "WITH turns AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INT) AS item FROM conversations)"
 _OK = "SELECT vec_id, true AS exact, true AS ok FROM embeddings"
 _MADE = W("images") + "SELECT sop_uid AS file, any_value(patient_id) AS patient_id, any_value(patient_name) AS patient_name, any_value(study_uid) AS study_uid, min(modality) AS modality, any_value(study_date) AS study_date, any_value(n_rows) AS n_rows, any_value(n_cols) AS n_cols, '1.2.840.10008.1.2' AS ts_uid FROM images GROUP BY sop_uid"
 SQL = {
@@ -152,7 +171,8 @@ SQL = {
     "jpeg_lossless_roundtrip": _OK,
     "codec_best_priority": "SELECT * FROM (VALUES ('1.2.840.10008.1.2.4.50', 'jpeg-baseline', 50), ('1.2.840.10008.1.2.4.70', 'jpeg-lossless', 50), ('1.2.840.10008.1.2.5', 'my-rle', 200)) v(ts_uid, name, priority)",
     "parse_written_files": _MADE,
-    "seq_flatten": "SELECT conv_id AS file, CAST(1 AS INT) AS depth, turn AS item, CAST(4198192 AS BIGINT) - 4198192 + t AS tag, CAST(CASE t WHEN 528432 THEN length(role) ELSE length(text) END AS INT) AS n_chars FROM conversations, (VALUES (528432), (1064960)) v(t)",
-    "seq_inherit_charset": "SELECT conv_id, turn, last_value(CASE WHEN turn = 0 THEN 'ISO_IR 100' WHEN (conv_id + turn) % 4 = 0 THEN 'ISO_IR 192' END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS charset FROM conversations",
+    "seq_flatten": f"{_TURNS} SELECT CAST(conv_id AS VARCHAR) AS file, CAST(1 AS INT) AS depth, CAST(4237104 AS BIGINT) AS sequence, item, CAST(t AS BIGINT) AS tag, CASE t WHEN 524293 THEN 'ISO_IR 192' WHEN 528432 THEN role WHEN 1064960 THEN 'é' || turn ELSE CAST(length(coalesce(text, '')) AS VARCHAR) END AS value FROM turns, (VALUES (524293), (528432), (1064960), (2625618)) v(t) WHERE t <> 524293 OR (conv_id + turn) % 4 = 0",
+    "seq_inherit_charset": f"{_TURNS} SELECT CAST(conv_id AS VARCHAR) AS file, item, 'é' || turn AS value, CASE WHEN (conv_id + turn) % 4 = 0 THEN 'c3' ELSE 'e9' END AS first_byte FROM turns",
+    "parse_elements": W("elements") + "SELECT tag, vr, count(*) AS n, CAST(CASE vr WHEN 'US' THEN NULL ELSE sum(len(string_split(value, chr(92)))) END AS BIGINT) AS n_values, CAST(sum(CASE vr WHEN 'US' THEN 2 ELSE length(value) + length(value) % 2 END) AS BIGINT) AS n_bytes FROM (SELECT DISTINCT file, tag, vr, value FROM elements WHERE tag <> 2576980377) GROUP BY tag, vr",
     "redact_pixels": _S + f"SELECT vec_id, CAST(CASE WHEN vec_id % 10 = 0 THEN 0 ELSE 1 END AS INT) AS n_regions, CASE WHEN vec_id % 10 = 0 THEN 'skipped' ELSE 'redacted' END AS status, {_HEX.format('list_transform(s, lambda x, i: CASE WHEN vec_id % 10 <> 0 AND i IN (1, 2, 9, 10) THEN 0 ELSE x END)')} AS frame_hex FROM s",
 }

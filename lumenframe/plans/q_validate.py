@@ -32,12 +32,14 @@ def dirty_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def val_profile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.issues(dirty_elements(spark, sf_dir)).groupBy("rule_id", "code", "severity").agg(F.count(F.lit(1)).alias("n"))
+    values = dirty_elements(spark, sf_dir).groupBy("tag", "vr", "value").agg(F.count(F.lit(1)).alias("n"))  # each rule once a value
+    return v.issues(values).groupBy("rule_id", "code", "severity").agg(F.sum("n").alias("n"))
 
 
 def val_profile_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     overrides = spark.createDataFrame([(1, "skip"), (7, "validate")], "tag long, behavior string")
-    return v.behave(v.issues(dirty_elements(spark, sf_dir)), "lenient", overrides).groupBy("tag", "behavior").agg(F.count(F.lit(1)).alias("n"))
+    values = dirty_elements(spark, sf_dir).groupBy("tag", "vr", "value").agg(F.count(F.lit(1)).alias("n"))
+    return v.behave(v.issues(values), "lenient", overrides).groupBy("tag", "behavior").agg(F.sum("n").alias("n"))
 
 
 def val_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ def val_custom_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def val_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bridge.elements(spark, sf_dir).where("tag in (524296, 1048592)").withColumn("i", v.multiplicity(F.col("value"), F.when(F.col("tag") == 524296, "3").otherwise("1")))
+    rows = bridge.elements(spark, sf_dir).withColumn("i", v.multiplicity(F.col("value"), F.when(F.col("tag") == 524296, "3").otherwise("1")))
     return rows.where("i is not null").groupBy("tag", "i.code").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -51,11 +51,11 @@ def resolve(config: dict[str, Any], named: dict[str, dict[str, Any]] | None = No
     return merge(resolve(known[parent], named, (*seen, parent)), own)
 
 
-def parse_tag(text: str) -> int:
+def parse_tag(text: str, keywords: dict[str, int] | None = None) -> int:
     m = re.fullmatch(r"\(?([0-9A-Fa-f]{4}),?([0-9A-Fa-f]{4})\)?", text.strip())
     if m:
         return t(f"{m[1]},{m[2]}")
-    for k, tag in KEYWORD.items():
+    for k, tag in {**KEYWORD, **(keywords or {})}.items():
         if k.lower() == text.strip().lower():
             return tag
     raise ValueError(f"no such tag: {text}")
@@ -66,15 +66,15 @@ def parse_action(text: str) -> str:
     return ACTION_NAMES.get(up.replace("_", ""), up)
 
 
-def options(config: dict[str, Any] | str, named: dict[str, dict[str, Any]] | None = None) -> DeidOptions:
-    """The options that a config stands for."""
+def options(config: dict[str, Any] | str, named: dict[str, dict[str, Any]] | None = None, keywords: dict[str, int] | None = None) -> DeidOptions:
+    """The options that a config stands for; keywords adds those of a loaded dictionary."""
     c = resolve(loads(config) if isinstance(config, str) else config, named)
     unknown = set(c.get("options", [])) - set(DEID_OPTIONS)
     if unknown:
         raise ValueError(f"no such option: {sorted(unknown)}")
     out = DeidOptions().retain(*c.get("options", []))
     for name, action in c.get("overrides", {}).items():
-        out = out.with_override(parse_tag(name), parse_action(action))
+        out = out.with_override(parse_tag(name, keywords), parse_action(action))
     if c.get("safePrivateCreators"):
         out = out.with_safe_creators(*c["safePrivateCreators"])
     shift = c.get("dateShift")

@@ -52,3 +52,23 @@ def deid_dictionary(spark: SparkSession, path: str) -> DataFrame:
     cell = lambda i: F.when(c[i] != "", c[i])
     shaped = rows.select(card.alias("tag"), mask.alias("mask"), cell(4).alias("basic"), *[cell(5 + i).alias(o) for i, o in enumerate(DEID_OPTIONS)])
     return first_per_key(shaped, ["tag", "mask"], ["basic"])
+
+
+#: Rows of a dictionary of tags up to which it is handed to parsers as a whole.
+MOST_TAGS = 100_000
+
+
+def representations(dictionary: DataFrame) -> dict[int, str]:
+    """tag to representation of a tag_dictionary() without its patterns, for ReadOptions.dictionary; the first where there are several."""
+    rows = dictionary.where("mask is null or mask = 4294967295").select("tag", F.col("vrs")[0].alias("vr")).where("length(vr) = 2").limit(MOST_TAGS + 1).collect()
+    if len(rows) > MOST_TAGS:
+        raise ValueError(f"a dictionary of more than {MOST_TAGS} tags")
+    return {r["tag"]: r["vr"] for r in rows}
+
+
+def keywords(dictionary: DataFrame) -> dict[str, int]:
+    """keyword to tag, for config.options()."""
+    rows = dictionary.where("keyword <> ''").select("keyword", "tag").limit(MOST_TAGS + 1).collect()
+    if len(rows) > MOST_TAGS:
+        raise ValueError(f"a dictionary of more than {MOST_TAGS} tags")
+    return {r["keyword"]: r["tag"] for r in rows}

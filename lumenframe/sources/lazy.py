@@ -12,24 +12,26 @@ from . import reader
 from .parse import PIXELS
 
 
-def locate(content: DataFrame) -> DataFrame:
-    """(file, offset, length) of the native pixel data of explicit files with a 12-byte head."""
-    e = reader.elements(content).where((F.col("tag") == PIXELS) & (F.col("depth") == 0) & F.col("vr").isin("OB", "OW") & (F.col("len") < 0xFFFFFFFF))
-    return e.select("file", (F.col("pos") + 12).alias("offset"), F.col("len").alias("length"))
+def locate(content: DataFrame, options: reader.ReadOptions | None = None) -> DataFrame:
+    """(file, offset, length) of native pixel data, wherever its file has it as it is: deflated files have no such place."""
+    e = reader.elements(content, options=options).where((F.col("tag") == PIXELS) & (F.col("depth") == 0) & F.col("value_pos").isNotNull())
+    return e.select("file", F.col("value_pos").alias("offset"), F.col("len").alias("length"))
 
 
 def load(places: DataFrame) -> DataFrame:
-    """places with data, read by range from files that pyarrow.fs opens."""
+    """places with data, read by range from files that pyarrow.fs opens; rows of one file that follow each other open it once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as pafs
 
+        last, f = None, None
         for batch in batches:
             out = []
             for name, offset, length in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                fs, path = pafs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file:///") else name)
-                with fs.open_input_file(path) as f:
-                    out.append(f.read_at(length, offset))
+                if name != last:
+                    fs, path = pafs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file:///") else name)
+                    last, f = name, fs.open_input_file(path)
+                out.append(f.read_at(length, offset))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=["file", "offset", "length", "data"])
 
     return places.select("file", "offset", "length").mapInArrow(run, "file string, offset long, length long, data binary")

@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from ..dims import CHARSETS, DICTIONARY, EXPLICIT_LE, IMPLICIT_LE, LONG_LENGTH_VRS, STRING_VRS, SYNTAX, VR
 
 UNDEFINED = 0xFFFFFFFF
 ITEM, ITEM_END, SEQUENCE_END = 0xFFFEE000, 0xFFFEE00D, 0xFFFEE0DD
-PIXELS = 0x7FE00010
+PIXELS, EXTENDED_OFFSETS = 0x7FE00010, 0x7FE00001
 CODECS = dict(CHARSETS)
 DELIMITER = {r[0]: r[7] for r in VR}
 KNOWN_VRS = {r[0] for r in VR}
@@ -37,6 +37,10 @@ class ReadOptions:
     max_depth: int = 128
     max_items: int = 100_000
     stop_on_error: bool = True
+    #: Representations by tag beside the seed's, for files that don't state them (dictionaries.representations()).
+    dictionary: dict[int, str] = field(default_factory=dict)
+    #: Called with the length of native pixel data and what is known of it (bits, signed): whether to load it.
+    pixel_filter: Callable[[int, dict], bool] | None = None
 
     @staticmethod
     def strict() -> ReadOptions:
@@ -62,6 +66,7 @@ class Element:
     codec: str = "ascii"
     big: bool = False
     items: int = 0  # of a sequence, empty ones included
+    body: int = -1  # the place of the value in the file, where it has one there
 
     @property
     def text(self) -> str:
@@ -92,6 +97,11 @@ class Fragments:
     offsets: list[int]
     fragments: list[bytes]
 
+    @property
+    def size(self) -> int:
+        """Bytes of all fragments."""
+        return sum(map(len, self.fragments))
+
     def frames(self, count: int) -> list[bytes]:
         """Frames by the offset table where there is one; one fragment a frame, or all in one frame, otherwise."""
         if count <= 1:
@@ -160,6 +170,7 @@ class _Reader:
         self.order = ">" if big else "<"
         self.items = 0
         self.fragments: Fragments | None = None
+        self.inflated = False
 
     def tag(self, at: int) -> int:
         if at + 4 > len(self.data):
@@ -181,7 +192,7 @@ class _Reader:
                     raise DicomError(f"cut off at {at}")
                 return tag, vr if vr in KNOWN_VRS else "UN", struct.unpack_from(self.order + "I", self.data, at + 8)[0], at + 12
             return tag, vr, struct.unpack_from(self.order + "H", self.data, at + 6)[0], at + 8
-        vr = DICTIONARY.get(tag, "UL" if not tag & 0xFFFF else "LO" if tag >> 16 & 1 and 0x10 <= tag & 0xFFFF <= 0xFF else "UN")
+        vr = self.options.dictionary.get(tag) or DICTIONARY.get(tag, "UL" if not tag & 0xFFFF else "LO" if tag >> 16 & 1 and 0x10 <= tag & 0xFFFF <= 0xFF else "UN")
         return tag, vr, struct.unpack_from(self.order + "I", self.data, at + 4)[0], at + 8
 
     def dataset(self, at: int, end: int, path: tuple, codec: str, context: dict, in_item: bool = False, stop_after: int | None = None) -> tuple[list[Element], int]:
@@ -210,8 +221,8 @@ class _Reader:
                 stop = body + length
                 if stop > end:
                     raise DicomError(f"value cut off at {at}")
-                skip = tag == PIXELS and self.options.pixel_data == "skip"
-                e = Element(tag, vr, length, b"" if skip else bytes(self.data[body:stop]), at, path, codec, self.big)
+                skip = tag == PIXELS and (self.options.pixel_data == "skip" or self.options.pixel_filter is not None and not self.options.pixel_filter(length, context))
+                e = Element(tag, vr, length, b"" if skip else bytes(self.data[body:stop]), at, path, codec, self.big, body=-1 if self.inflated else body)
                 if tag == 0x00080005:
                     codec = codec_of(e.raw.decode("ascii", "replace"))
                 elif tag == 0x00280100 and e.numbers:
@@ -288,8 +299,12 @@ def parse(content: bytes, options: ReadOptions | None = None) -> DicomFile:
         if compression == "deflate":
             data, at = memoryview(zlib.decompressobj(-15).decompress(data[at:])), 0
         reader = _Reader(data, explicit, not little, options)
+        reader.inflated = compression == "deflate"
         out.elements, _ = _collect(reader, at, out)
         out.fragments = reader.fragments
+        table = out.get(EXTENDED_OFFSETS)
+        if out.fragments is not None and not out.fragments.offsets and table is not None:
+            out.fragments.offsets = list(struct.unpack(f"<{len(table.raw) // 8}Q", table.raw[: len(table.raw) // 8 * 8]))
     except (DicomError, struct.error, zlib.error, UnicodeDecodeError) as e:
         if options.stop_on_error:
             raise e if isinstance(e, DicomError) else DicomError(str(e)) from None

@@ -23,7 +23,7 @@ PROMOTED = {
 }
 COUNTED = {"n_rows": "Rows", "n_cols": "Columns", "bits": "BitsAllocated", "bits_stored": "BitsStored", "samples": "SamplesPerPixel", "n_frames": "NumberOfFrames", "pixel_representation": "PixelRepresentation"}
 INSTANCE_SCHEMA = "file string, length long, ts_uid string, meta map<string,string>, " + ", ".join(f"{c} string" for c in PROMOTED) + ", " + ", ".join(f"{c} int" for c in COUNTED) + ", parse_error string"
-ELEMENT_SCHEMA = "file string, item_path array<struct<tag:bigint,item:int>>, depth int, tag bigint, group_no int, elem_no int, vr string, len bigint, raw binary, values array<string>, ints array<bigint>, nums array<double>, pos bigint"
+ELEMENT_SCHEMA = "file string, item_path array<struct<tag:bigint,item:int>>, depth int, tag bigint, group_no int, elem_no int, vr string, len bigint, raw binary, values array<string>, ints array<bigint>, nums array<double>, pos bigint, value_pos bigint"
 FRAME_SCHEMA = "file string, frame_no int, ts_uid string, rows int, cols int, bits int, samples int, encapsulated boolean, frame binary"
 
 
@@ -65,7 +65,7 @@ def elements(content: DataFrame, mode: str = "permissive", options: ReadOptions
     """A row an element, items of sequences included."""
     options = options or ReadOptions(pixel_data="skip")
     path_kind = pa.list_(pa.struct([("tag", pa.int64()), ("item", pa.int32())]))
-    kinds = [pa.string(), path_kind, pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.int64()]
+    kinds = [pa.string(), path_kind, pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.int64(), pa.int64()]
     names = [c.split()[0] for c in ELEMENT_SCHEMA.replace("array<struct<tag:bigint,item:int>>", "x").split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +76,7 @@ def elements(content: DataFrame, mode: str = "permissive", options: ReadOptions
                 for e in f.elements if f else ():
                     n = e.numbers
                     whole = n if n is not None and e.vr not in ("FL", "FD", "UV") else None
-                    rows.append((name.as_py(), [{"tag": t, "item": i} for t, i in e.path], len(e.path), e.tag, e.tag >> 16, e.tag & 0xFFFF, e.vr, e.length, e.raw, e.values, whole, [float(x) for x in n] if n is not None else None, e.pos))
+                    rows.append((name.as_py(), [{"tag": t, "item": i} for t, i in e.path], len(e.path), e.tag, e.tag >> 16, e.tag & 0xFFFF, e.vr, e.length, e.raw, e.values, whole, [float(x) for x in n] if n is not None else None, e.pos, e.body if e.body >= 0 else None))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -102,6 +102,22 @@ def frames(content: DataFrame, mode: str = "permissive") -> DataFrame:
     return content.select("file", "content").mapInArrow(run, FRAME_SCHEMA)
 
 
+def fragments(content: DataFrame, mode: str = "permissive") -> DataFrame:
+    """(file, n_fragments, fragment_bytes, n_offsets) of the files with encapsulated pixel data."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, data in zip(batch.column(0), batch.column(1), strict=True):
+                f = _each(mode, ReadOptions(), name.as_py(), data.as_py() or b"")
+                if f is not None and f.fragments is not None:
+                    rows.append((name.as_py(), len(f.fragments.fragments), f.fragments.size, len(f.fragments.offsets)))
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)], names=["file", "n_fragments", "fragment_bytes", "n_offsets"])
+
+    return content.select("file", "content").mapInArrow(run, "file string, n_fragments int, fragment_bytes long, n_offsets int")
+
+
 def encode_rows(elements: DataFrame, syntax: str) -> DataFrame:
     """(file, content): files made of flat element rows (file, tag, vr, value). A file's rows meet in one task."""
     shaped = elements.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("tag", "vr", "value"))).alias("rows"))  # one file's elements

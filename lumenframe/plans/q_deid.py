@@ -252,7 +252,7 @@ SQL = {
     "deid_option_precedence": f"SELECT CAST(tag AS BIGINT) AS tag, coalesce(ruid, rdev, rfull, rmod, cdesc, basic) AS code, coalesce(rmod, basic) AS code_modified FROM {_TABLE}",
     "deid_resolve": f"SELECT code, kind, CASE kind WHEN 1 THEN a WHEN 2 THEN b ELSE c END AS resolved FROM (VALUES {dims.values_sql(dims.RESOLVE)}) r(code, a, b, c), (SELECT DISTINCT CAST(p_partkey % 3 + 1 AS INT) AS kind FROM part)",
     "deid_apply": _BASIC + _SUMS + f"SELECT tag, b.vr, CASE resolved WHEN 'empty' THEN '' WHEN 'dummy' THEN coalesce(dummy, '') WHEN 'clean' THEN coalesce(dummy, '') WHEN 'remap_uid' THEN {_REMAP} ELSE value END AS value FROM b LEFT JOIN {_DUMMY} ON dum.vr = b.vr WHERE resolved <> 'remove' UNION ALL SELECT m.tag, m.vr, m.value FROM (SELECT DISTINCT file FROM b), (VALUES ({dims.KEYWORD['PatientIdentityRemoved']}, 'CS', 'YES'), ({dims.KEYWORD['DeidentificationMethod']}, 'LO', '113100'), ({dims.KEYWORD['LongitudinalTemporalInformationModified']}, 'CS', 'REMOVED')) m(tag, vr, value)) GROUP BY ALL",
-    "deid_files": _BASIC.replace("FROM elements e LEFT JOIN", "FROM (SELECT DISTINCT * FROM elements WHERE tag <> 2576980377) e LEFT JOIN") + _SUMS + f"SELECT tag, b.vr, CASE resolved WHEN 'empty' THEN '' WHEN 'dummy' THEN coalesce(dummy, '') WHEN 'clean' THEN coalesce(dummy, '') WHEN 'remap_uid' THEN {_REMAP} ELSE value END AS value FROM b LEFT JOIN {_DUMMY} ON dum.vr = b.vr WHERE resolved <> 'remove' UNION ALL SELECT m.tag, m.vr, m.value FROM (SELECT DISTINCT file FROM b), (VALUES ({dims.KEYWORD['PatientIdentityRemoved']}, 'CS', 'YES'), ({dims.KEYWORD['DeidentificationMethod']}, 'LO', '113100'), ({dims.KEYWORD['LongitudinalTemporalInformationModified']}, 'CS', 'REMOVED'), (1179748, 'SQ', ''), (524544, 'SH', '113100'), (524546, 'SH', 'DCM'), (524548, 'LO', 'Basic Application Confidentiality Profile')) m(tag, vr, value)) GROUP BY ALL",
+    "deid_files": _BASIC.replace("FROM elements e LEFT JOIN", "FROM (SELECT file, patient_id, tag, vr, min(value) AS value FROM elements WHERE tag <> 2576980377 GROUP BY ALL) e LEFT JOIN") + _SUMS + f"SELECT tag, b.vr, CASE resolved WHEN 'empty' THEN '' WHEN 'dummy' THEN coalesce(dummy, '') WHEN 'clean' THEN coalesce(dummy, '') WHEN 'remap_uid' THEN {_REMAP} ELSE value END AS value FROM b LEFT JOIN {_DUMMY} ON dum.vr = b.vr WHERE resolved <> 'remove' UNION ALL SELECT m.tag, m.vr, m.value FROM (SELECT DISTINCT file FROM b), (VALUES ({dims.KEYWORD['PatientIdentityRemoved']}, 'CS', 'YES'), ({dims.KEYWORD['DeidentificationMethod']}, 'LO', '113100'), ({dims.KEYWORD['LongitudinalTemporalInformationModified']}, 'CS', 'REMOVED'), (1179748, 'SQ', 'unread'), (524544, 'SH', '113100'), (524546, 'SH', 'DCM'), (524548, 'LO', 'Basic Application Confidentiality Profile')) m(tag, vr, value)) GROUP BY ALL",
     "deid_any_vr": _BASIC + "SELECT tag, vr, CASE tag WHEN 2621456 THEN 'empty' WHEN 2621457 THEN 'dummy' ELSE resolved END AS resolved, count(*) FILTER (tag = 2621456 OR resolved = 'empty' OR (resolved = 'keep' AND value = '')) AS n_empty, count(*) FILTER (tag = 2621457) AS n_zero FROM b GROUP BY ALL",
     "deid_masked": W("elements") + "SELECT tag, CASE WHEN (tag // 65536) % 2 = 1 THEN 'private' WHEN tag = 1048608 THEN 'K' WHEN tag // 65536 = 8 THEN 'D' WHEN tag // 65536 = 16 THEN 'Z' ELSE 'X' END AS code, count(*) AS n FROM elements GROUP BY ALL",
     "deid_scopes": W("images") + "SELECT CAST(t AS BIGINT) AS tag, scope, count(DISTINCT CASE WHEN scope = 'batch' THEN v WHEN scope = 'study' THEN study_uid || ' ' || v ELSE sop_uid || ' ' || v END) AS n_uids FROM (SELECT sop_uid, study_uid, t, CASE t WHEN 524312 THEN sop_uid WHEN 2097165 THEN study_uid ELSE series_uid END AS v FROM images, (VALUES (524312), (2097165), (2097166)) u(t)), (VALUES ('batch'), ('study'), ('dataset')) s(scope) GROUP BY ALL",

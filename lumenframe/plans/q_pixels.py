@@ -95,8 +95,8 @@ def codec_best_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str, syntax: str = dims.EXPLICIT_LE) -> DataFrame:
-    """(file, length, content): a file for each image of the first suppliers' series."""
-    e = bridge.elements(spark, sf_dir).where("tag <> 2576980377").dropDuplicates(["file", "tag"])
+    """(file, length, content): a file for each image."""
+    e = bridge.elements(spark, sf_dir).where("tag <> 2576980377").groupBy("file", "tag", "vr").agg(F.min("value").alias("value"))  # images may share a UID
     made = reader.encode_rows(e.select("file", "tag", "vr", "value"), syntax)
     return made.select("file", F.octet_length("content").cast("long").alias("length"), "content")
 
@@ -160,7 +160,7 @@ _C = lambda e: f"CAST(greatest(0, least(255, trunc({e} + 0.5))) AS INT)"  # noqa
 _HEX = "lower(array_to_string(list_transform({}, lambda x: printf('%02x', x)), ''))"
 _TURNS = "WITH turns AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INT) AS item FROM conversations)"
 _OK = "SELECT vec_id, true AS exact, true AS ok FROM embeddings"
-_MADE = W("images") + "SELECT sop_uid AS file, any_value(patient_id) AS patient_id, any_value(patient_name) AS patient_name, any_value(study_uid) AS study_uid, min(modality) AS modality, any_value(study_date) AS study_date, any_value(n_rows) AS n_rows, any_value(n_cols) AS n_cols, '1.2.840.10008.1.2' AS ts_uid FROM images GROUP BY sop_uid"
+_MADE = W("images") + "SELECT sop_uid AS file, any_value(patient_id) AS patient_id, any_value(patient_name) AS patient_name, any_value(study_uid) AS study_uid, min(modality) AS modality, any_value(study_date) AS study_date, CAST(min(CAST(n_rows AS VARCHAR)) AS INT) AS n_rows, CAST(min(CAST(n_cols AS VARCHAR)) AS INT) AS n_cols, '1.2.840.10008.1.2' AS ts_uid FROM images GROUP BY sop_uid"
 SQL = {
     "frame_slice": _S + f"SELECT vec_id, CAST(f AS INT) AS frame_no, {_HEX.format('s[CAST(f * 16 + 1 AS INT):CAST(f * 16 + 16 AS INT)]')} AS frame_hex FROM s, range(4) r(f)",
     "color_ycbcr_rgb": _S + f"SELECT vec_id, {_C('s[1] + 1.402e0 * (s[3] - 128)')} AS r, {_C('s[1] - 0.344136e0 * (s[2] - 128) - 0.714136e0 * (s[3] - 128)')} AS g, {_C('s[1] + 1.772e0 * (s[2] - 128)')} AS b, y, {_C('(s[6] - y) / 1.772e0 + 128')} AS cb, {_C('(s[4] - y) / 1.402e0 + 128')} AS cr FROM (SELECT *, {_C('0.299e0 * s[4] + 0.587e0 * s[5] + 0.114e0 * s[6]')} AS y FROM s)",
@@ -173,6 +173,6 @@ SQL = {
     "parse_written_files": _MADE,
     "seq_flatten": f"{_TURNS} SELECT CAST(conv_id AS VARCHAR) AS file, CAST(1 AS INT) AS depth, CAST(4237104 AS BIGINT) AS sequence, item, CAST(t AS BIGINT) AS tag, CASE t WHEN 524293 THEN 'ISO_IR 192' WHEN 528432 THEN role WHEN 1064960 THEN 'é' || turn ELSE CAST(length(coalesce(text, '')) AS VARCHAR) END AS value FROM turns, (VALUES (524293), (528432), (1064960), (2625618)) v(t) WHERE t <> 524293 OR (conv_id + turn) % 4 = 0",
     "seq_inherit_charset": f"{_TURNS} SELECT CAST(conv_id AS VARCHAR) AS file, item, 'é' || turn AS value, CASE WHEN (conv_id + turn) % 4 = 0 THEN 'c3' ELSE 'e9' END AS first_byte FROM turns",
-    "parse_elements": W("elements") + "SELECT tag, vr, count(*) AS n, CAST(CASE vr WHEN 'US' THEN NULL ELSE sum(len(string_split(value, chr(92)))) END AS BIGINT) AS n_values, CAST(sum(CASE vr WHEN 'US' THEN 2 ELSE length(value) + length(value) % 2 END) AS BIGINT) AS n_bytes FROM (SELECT DISTINCT file, tag, vr, value FROM elements WHERE tag <> 2576980377) GROUP BY tag, vr",
+    "parse_elements": W("elements") + "SELECT tag, vr, count(*) AS n, CAST(CASE vr WHEN 'US' THEN NULL ELSE sum(len(string_split(value, chr(92)))) END AS BIGINT) AS n_values, CAST(sum(CASE vr WHEN 'US' THEN 2 ELSE length(value) + length(value) % 2 END) AS BIGINT) AS n_bytes FROM (SELECT file, tag, vr, min(value) AS value FROM elements WHERE tag <> 2576980377 GROUP BY ALL) GROUP BY tag, vr",
     "redact_pixels": _S + f"SELECT vec_id, CAST(CASE WHEN vec_id % 10 = 0 THEN 0 ELSE 1 END AS INT) AS n_regions, CASE WHEN vec_id % 10 = 0 THEN 'skipped' ELSE 'redacted' END AS status, {_HEX.format('list_transform(s, lambda x, i: CASE WHEN vec_id % 10 <> 0 AND i IN (1, 2, 9, 10) THEN 0 ELSE x END)')} AS frame_hex FROM s",
 }

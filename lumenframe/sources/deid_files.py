@@ -19,7 +19,7 @@ from ..functions import tags
 from ..operators import deid
 from . import reader
 from .encode import Node, encode, tree
-from .parse import DicomError, Element, ReadOptions, parse
+from .parse import PIXELS, DicomError, Element, ReadOptions, parse
 from .typed import to_bytes
 
 
@@ -27,7 +27,8 @@ def element_rows(content: DataFrame, mode: str = "permissive", options: ReadOpti
     """Elements as the operators take them: (file, patient_id, item_path, tag, vr, value, pos), values as text."""
     rows = reader.elements(content, mode, options)
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "\\")
-    value = F.when(tags.is_string(F.col("vr")), F.array_join("values", "\\")).otherwise(F.coalesce(joined("ints"), joined("nums"), F.when(F.col("len") == 0, "").otherwise(F.hex("raw"))))
+    other = F.when(F.col("len") == 0, "").when(F.length("raw") > 0, F.hex("raw")).otherwise("unread")  # sequences and pixel data have something
+    value = F.when(tags.is_string(F.col("vr")), F.array_join("values", "\\")).otherwise(F.coalesce(joined("ints"), joined("nums"), other))
     named = rows.withColumn("value", value)
     patient = named.where((F.col("tag") == dims.KEYWORD["PatientID"]) & (F.col("depth") == 0)).groupBy("file").agg(F.min("value").alias("patient_id"))
     return named.join(patient, "file", "left").select("file", "patient_id", "item_path", "tag", "vr", "value", "pos")
@@ -60,9 +61,9 @@ def rewrite(content: bytes, edits: dict[int, tuple[str, str | None]], options: d
             if e.vr == "SQ":
                 gone.add((e.path, e.tag))
                 e.items = 0
+            if e.tag == PIXELS and not e.path:
+                f.fragments = None
             if value is None:
-                if e.tag == 0x7FE00010:
-                    f.fragments = None
                 continue
             charset = next((x.text for x in reversed(kept) if x.tag == 0x00080005 and e.path[: len(x.path)] == x.path), "ISO_IR 100")
             e.raw = b"" if e.vr == "SQ" else to_bytes(vr, value, charset, e.big)

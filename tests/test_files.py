@@ -8,7 +8,7 @@ import pytest
 from lumenframe import dims
 from lumenframe.codecs import jpeg_baseline, jpeg_lossless, registry, rle, wavelet
 from lumenframe.operators.deid import DeidOptions
-from lumenframe.sources import config, dictionaries, mapping, reader
+from lumenframe.sources import config, deid_files, dictionaries, lazy, mapping, reader
 from lumenframe.sources.encode import Node, encode, tree
 from lumenframe.sources.parse import DicomError, Fragments, ReadOptions, iter_frames, parse
 from lumenframe.streaming import association, dimse, ingest, pdu
@@ -216,3 +216,80 @@ def test_lazy_pixels(spark, tmp_path):
     (tmp_path / "p.dcm").write_bytes(encode([*BASE, Node(0x7FE00010, "OW", bytes(range(8)))]))
     rows = lazy.load(lazy.locate(reader.files(spark, str(tmp_path)))).collect()
     assert [bytes(r["data"]) for r in rows] == [bytes(range(8))]
+
+
+def test_a_loaded_dictionary_names_representations_of_implicit_files():
+    data = encode([*BASE, Node(0x00189073, "FD", np.float64(1.5).tobytes()), Node(0x00189999, "LO", b"text")], dims.IMPLICIT_LE)
+    plain = {e.tag: e.vr for e in parse(data).elements}
+    assert plain[0x00189073] == plain[0x00189999] == "UN"
+    f = parse(data, ReadOptions(dictionary={0x00189073: "FD", 0x00189999: "LO"}))
+    assert f.get(0x00189073).numbers == [1.5] and f.text(0x00189999) == "text"
+
+
+def test_dictionary_files_reach_the_parser(spark, tmp_path):
+    cells = [["(0018,9073)", "Acquisition Duration", "AcquisitionDuration", "FD", "1", ""], ["(60xx,3000)", "Overlay Data", "OverlayData", "OB or OW", "1", ""], ["(0018,9004)", "Content Qualification", "ContentQualification", "CS", "1", ""]]
+    rows = "".join("<tr>" + "".join(f"<td><para>{c}</para></td>" for c in r) + "</tr>" for r in cells)
+    (tmp_path / "part06.xml").write_text(f"<book><table>{rows}</table></book>")
+    table = dictionaries.tag_dictionary(spark, str(tmp_path / "part06.xml"))
+    known = dictionaries.representations(table)
+    assert known == {0x00189073: "FD", 0x00189004: "CS"}
+    content = spark.createDataFrame([("a", bytearray(encode([*BASE, Node(0x00189073, "FD", np.float64(2.0).tobytes())], dims.IMPLICIT_LE)))], "file string, content binary")
+    row = reader.elements(content, options=ReadOptions(dictionary=known)).where("tag = 1609843").first()
+    assert (row["vr"], row["nums"]) == ("FD", [2.0])
+    assert config.options('{"overrides": {"AcquisitionDuration": "Z"}}', keywords=dictionaries.keywords(table)).overrides == {0x00189073: "Z"}
+
+
+@pytest.mark.parametrize("syntax", [dims.IMPLICIT_LE, dims.EXPLICIT_LE, dims.DEFLATED_LE])
+def test_places_of_pixels(spark, tmp_path, syntax):
+    path = tmp_path / "a.dcm"
+    path.write_bytes(encode([*BASE, Node(0x00280100, "US", b"\x10\0"), Node(0x7FE00010, "OW", b"ABCDEFGH")], syntax))
+    places = lazy.locate(reader.files(spark, str(tmp_path)))
+    got = [bytes(r["data"]) for r in lazy.load(places).collect()]
+    assert got == ([] if syntax == dims.DEFLATED_LE else [b"ABCDEFGH"])
+
+
+def test_pixel_filter_and_extended_offsets(spark):
+    data = encode([*BASE, Node(0x7FE00010, "OW", bytes(8))])
+    assert parse(data, ReadOptions(pixel_filter=lambda n, context: n < 8)).get(0x7FE00010).raw == b""
+    assert len(parse(data, ReadOptions(pixel_filter=lambda n, context: n <= 8)).get(0x7FE00010).raw) == 8
+    parts = [b"aa", b"bb", b"cccc"]
+    table = np.array([0, 20], "<u8").tobytes()
+    data = encode([*BASE, Node(0x00280008, "IS", b"2"), Node(0x7FE00001, "OV", table), Node(0x7FE00010, "OB", fragments=Fragments([], parts))], dims.RLE_SYNTAX)
+    assert parse(data).fragments.offsets == [0, 20]
+    content = spark.createDataFrame([("a", bytearray(data)), ("b", bytearray(encode(BASE)))], "file string, content binary")
+    assert [tuple(r) for r in reader.fragments(content).collect()] == [("a", 3, 8, 2)]
+
+
+def test_deidentified_files(spark):
+    nodes = [*BASE, Node(0x00080020, "DA", b"20240101"), Node(0x00081115, "SQ", items=[[Node(0x00100010, "PN", b"Inner^Name"), Node(0x00080018, "UI", b"1.2.3.4")]]), Node(0x00280010, "US", b"\2\0"), Node(0x00091001, "LO", b"private"), Node(0x7FE00010, "OB", fragments=Fragments([0], [b"abcd"]))]
+    data = encode(nodes, dims.RLE_SYNTAX)
+    content = spark.createDataFrame([("a", bytearray(data)), ("broken", bytearray(b"nothing"))], "file string, content binary")
+    options = DeidOptions(unknown="keep").with_override(0x00280010, "D")
+    rows = {r["file"]: r for r in deid_files.deidentify_files(content, dims.dim_deid(spark), options).collect()}
+    assert rows["broken"]["content"] is None and rows["broken"]["error"]
+    f = parse(bytes(rows["a"]["content"]))
+    assert b"ller^A" not in bytes(rows["a"]["content"]) and b"Inner^Name" not in bytes(rows["a"]["content"]) and f.fragments.fragments == [b"abcd"]
+    uid = f.text(0x00080018)
+    inner = [e.text for e in f.elements if e.path and e.tag == 0x00080018]
+    assert uid.startswith("2.25.") and inner == [uid]  # the same UID, nested or not
+    assert f.number(0x00280010) == 0 and f.get(0x00091001) is None and f.text(0x00120062) == "YES"
+    codes = [e.text for e in f.elements if e.tag == 0x00080100 and e.path[0][0] == 0x00120064]
+    assert codes == ["113100"]
+    again = {r["file"]: r for r in deid_files.deidentify_files(content, dims.dim_deid(spark), options).collect()}
+    assert again["a"]["content"] == rows["a"]["content"]
+
+
+def test_a_sequence_that_goes_takes_its_items_along(spark):
+    content = spark.createDataFrame([("a", bytearray(encode([*BASE, NESTED])))], "file string, content binary")
+    for action, left in (("X", 0), ("Z", 1)):
+        options = DeidOptions(unknown="keep").with_override(0x00081115, action)
+        row = deid_files.deidentify_files(content, dims.dim_deid(spark), options).first()
+        f = parse(bytes(row["content"]))
+        assert sum(e.tag == 0x00081115 for e in f.elements) == left and not any(e.path and e.path[0][0] == 0x00081115 for e in f.elements)
+
+
+def test_emptied_pixels(spark):
+    for pixels in (Node(0x7FE00010, "OW", b"secret!!"), Node(0x7FE00010, "OB", fragments=Fragments([0], [b"secret!!"]))):
+        content = spark.createDataFrame([("a", bytearray(encode([*BASE, pixels], dims.RLE_SYNTAX)))], "file string, content binary")
+        row = deid_files.deidentify_files(content, dims.dim_deid(spark), DeidOptions(unknown="keep").with_override(0x7FE00010, "Z")).first()
+        assert b"secret" not in bytes(row["content"]) and parse(bytes(row["content"])).get(0x7FE00010).raw == b""

@@ -4,9 +4,9 @@ Candidates are dealt into shards by a hash of their id. Each shard's ball tree i
 one row of a table in the shared folder. Queries visit shards in three rounds: a home shard by a hash of their id, then
 the next few (the root of all shards), then all others. After each round the k-th score that a query has found anywhere
 is its floor in the next: whole balls are left out whose upper bound (q . centre + |q| * radius, never above that of the
-ball around it) stays under it. Within a shard each query takes its best open ball first: a ball that isn't a leaf is
-replaced by its two halves, a leaf is searched and may raise the floor; it is done when no open ball reaches the
-floor. Bounds are widened against rounding, and balls that could only tie are searched, so results are exact with ties
+ball around it) stays under it. Within a shard each query takes its best open balls, one at first, then up to MOST_BALLS
+at a time: a ball that isn't a leaf is replaced by its two halves, a leaf is searched and may raise the floor; it is
+done when no open ball reaches the floor. Bounds are widened against rounding, and balls that could only tie are searched, so results are exact with ties
 to the smaller id.
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows without an id; vectors of another
@@ -35,7 +35,9 @@ SHARD_ROWS = 32768
 #: Queries that meet a copy of a shard, and those that are searched at a time.
 BLOCK_QUERIES = 65536
 CHUNK = 1024
-LEAF = 64
+LEAF = 256
+#: Open balls that a query takes at a time, at most.
+MOST_BALLS = 32
 #: No score at all, and the largest one.
 NONE, MOST = -(1 << 63), (1 << 63) - 1
 
@@ -104,33 +106,39 @@ def search(tree: BallTree, queries: np.ndarray, query_ids: np.ndarray, floors: n
     norms = np.sqrt((queries**2).sum(1))
     open_ = np.full((n, nodes), -np.inf)  # bounds of the balls that are neither searched nor replaced
     open_[:, :1] = tree.bounds(queries, norms, slice(0, 1))
-    live = np.arange(n)
+    live, most = np.arange(n), 1
     while len(live):
-        node = open_[live].argmax(1)
-        bound = open_[live, node]
-        going = (bound > -np.inf) & (bound >= floor[live])
-        live, node, bound = live[going], node[going], bound[going]
-        if not len(live):
-            break
-        open_[live, node] = -np.inf
+        # each query's best open balls: one at first, then more at a time, so that queries meet at the same balls
+        take = min(most, nodes)
+        node = np.argpartition(-open_[live], take - 1, axis=1)[:, :take]
+        bound = np.take_along_axis(open_[live], node, 1)
+        going = (bound > -np.inf) & (bound >= floor[live, None])
+        who_asks, node, bound = np.repeat(live, take)[going.ravel()], node[going], bound[going]
+        live, most = live[going.any(1)], min(2 * most, MOST_BALLS)
+        open_[who_asks, node] = -np.inf
         by = np.argsort(node, kind="stable")
-        cuts = np.flatnonzero(np.diff(node[by], prepend=-1))
-        for i, j in zip(cuts, np.append(cuts[1:], len(by)), strict=True):
-            qs, at = live[by[i:j]], int(node[by[i]])
+        edges = np.flatnonzero(np.diff(node[by], prepend=-1, append=-1)) if len(by) else []
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            qs, top, at = who_asks[by[i:j]], bound[by[i:j]], int(node[by[i]])
+            still = top >= floor[qs]
+            qs, top = qs[still], top[still]
+            if not len(qs):
+                continue
             child = tree.first[at]
             if child >= 0:
                 halves = slice(child, child + 2)
-                open_[qs, halves] = np.minimum(tree.bounds(queries[qs], norms[qs], halves), bound[by[i:j], None])
+                open_[qs, halves] = np.minimum(tree.bounds(queries[qs], norms[qs], halves), top[:, None])
                 continue
             a, b = tree.spans[at]
             searched += len(qs)
             scores = (queries[qs] @ tree.vectors[a:b].T).astype(np.int64)
-            owner = np.broadcast_to(tree.ids[a:b], scores.shape)
-            scores = np.where(owner == query_ids[qs][:, None], NONE, scores)
+            scores[tree.ids[a:b] == query_ids[qs][:, None]] = NONE
+            better = scores.max(1) >= floor[qs]
+            qs, scores = qs[better], scores[better]
             every = np.concatenate([best[qs], scores], 1)
-            names = np.concatenate([who[qs], np.where(scores == NONE, -1, owner)], 1)
-            top = np.lexsort((names, -every.astype(np.float64)), axis=1)[:, :k]
-            best[qs], who[qs] = np.take_along_axis(every, top, 1), np.take_along_axis(names, top, 1)
+            names = np.concatenate([who[qs], np.where(scores == NONE, -1, tree.ids[a:b])], 1)
+            first = np.lexsort((names, -every.astype(np.float64)), axis=1)[:, :k]
+            best[qs], who[qs] = np.take_along_axis(every, first, 1), np.take_along_axis(names, first, 1)
             floor[qs] = np.maximum(floor[qs], best[qs][:, -1])
     return best, who, searched
 

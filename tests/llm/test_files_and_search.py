@@ -140,7 +140,7 @@ def test_topk_against_brute_force(spark):
 def test_balls_that_cannot_hold_a_better_score_are_left_out():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(c, 1, (500, 4)) for c in (-100, 0, 100)]).round()
-    t = topk.BallTree.unpack(topk.BallTree(x, np.arange(len(x))).pack(), 4)
+    t = topk.BallTree.unpack(topk.BallTree(x, np.arange(len(x)), 32).pack(), 4)
     norms = np.sqrt((x[:3] ** 2).sum(1))
     every = t.bounds(x[:3], norms, slice(None))
     for node, (a, b) in enumerate(t.spans):

@@ -43,7 +43,13 @@ def deid_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deid_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = d.deidentify(_elements(spark, sf_dir), dims.dim_deid(spark), BASIC)
-    return uid_sums(done)
+    return done.where("vr <> 'UI'").groupBy("tag", "vr", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def deid_apply_uids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that deid_apply leaves to this query: every UID remapped."""
+    done = d.deidentify(_elements(spark, sf_dir), dims.dim_deid(spark), BASIC)
+    return uid_sums(done.where("vr = 'UI'"))
 
 
 def uid_sums(rows: DataFrame) -> DataFrame:
@@ -226,7 +232,7 @@ def vendor_creators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge.parts(spark, sf_dir).groupBy(F.upper(F.trim("creator")).alias("key")).agg(F.min("creator").alias("first_name"), F.count(F.lit(1)).alias("n_tags"))
 
 
-QUERIES = {f.__name__: f for f in (deid_action, deid_option_precedence, deid_resolve, deid_apply, deid_files, deid_any_vr, deid_masked, deid_scopes, deid_keep_profile, deid_override, deid_dummy, deid_uid_deterministic, deid_uid_from_name, deid_uid_from_uuid, deid_uid_standard_kept, deid_uid_consistency, deid_uid_map, deid_date_per_patient, deid_markers, deid_summary, deid_batch, deid_burnedin_risk, deid_redaction_clip, private_creator_join, private_orphans, private_strip, private_alloc_slot, private_compact, private_renumbered, private_add, vendor_lookup, vendor_creators)}
+QUERIES = {f.__name__: f for f in (deid_action, deid_option_precedence, deid_resolve, deid_apply, deid_apply_uids, deid_files, deid_any_vr, deid_masked, deid_scopes, deid_keep_profile, deid_override, deid_dummy, deid_uid_deterministic, deid_uid_from_name, deid_uid_from_uuid, deid_uid_standard_kept, deid_uid_consistency, deid_uid_map, deid_date_per_patient, deid_markers, deid_summary, deid_batch, deid_burnedin_risk, deid_redaction_clip, private_creator_join, private_orphans, private_strip, private_alloc_slot, private_compact, private_renumbered, private_add, vendor_lookup, vendor_creators)}
 QUERIES |= {"deid_date_fixed": _dates(d.DateShift("fixed", days=-100)), "deid_date_removetime": _dates(d.DateShift.clinical_trial()), "deid_date_remove": _dates(d.DateShift("remove"))}
 
 _DEID = "deid(tag, " + ", ".join(["basic", *dims.DEID_OPTIONS]) + ")"
@@ -251,7 +257,8 @@ SQL = {
     "deid_action": _BASIC + "SELECT tag, code, resolved, count(*) AS n FROM b GROUP BY ALL",
     "deid_option_precedence": f"SELECT CAST(tag AS BIGINT) AS tag, coalesce(ruid, rdev, rfull, rmod, cdesc, basic) AS code, coalesce(rmod, basic) AS code_modified FROM {_TABLE}",
     "deid_resolve": f"SELECT code, kind, CASE kind WHEN 1 THEN a WHEN 2 THEN b ELSE c END AS resolved FROM (VALUES {dims.values_sql(dims.RESOLVE)}) r(code, a, b, c), (SELECT DISTINCT CAST(p_partkey % 3 + 1 AS INT) AS kind FROM part)",
-    "deid_apply": _BASIC + _SUMS + f"SELECT tag, b.vr, CASE resolved WHEN 'empty' THEN '' WHEN 'dummy' THEN coalesce(dummy, '') WHEN 'clean' THEN coalesce(dummy, '') WHEN 'remap_uid' THEN {_REMAP} ELSE value END AS value FROM b LEFT JOIN {_DUMMY} ON dum.vr = b.vr WHERE resolved <> 'remove' UNION ALL SELECT m.tag, m.vr, m.value FROM (SELECT DISTINCT file FROM b), (VALUES ({dims.KEYWORD['PatientIdentityRemoved']}, 'CS', 'YES'), ({dims.KEYWORD['DeidentificationMethod']}, 'LO', '113100'), ({dims.KEYWORD['LongitudinalTemporalInformationModified']}, 'CS', 'REMOVED')) m(tag, vr, value)) GROUP BY ALL",
+    "deid_apply": _BASIC + "SELECT tag, vr, value, count(*) AS n FROM (" + f"SELECT tag, b.vr, CASE resolved WHEN 'empty' THEN '' WHEN 'dummy' THEN coalesce(dummy, '') WHEN 'clean' THEN coalesce(dummy, '') WHEN 'remap_uid' THEN {_REMAP} ELSE value END AS value FROM b LEFT JOIN {_DUMMY} ON dum.vr = b.vr WHERE resolved <> 'remove' UNION ALL SELECT m.tag, m.vr, m.value FROM (SELECT DISTINCT file FROM b), (VALUES ({dims.KEYWORD['PatientIdentityRemoved']}, 'CS', 'YES'), ({dims.KEYWORD['DeidentificationMethod']}, 'LO', '113100'), ({dims.KEYWORD['LongitudinalTemporalInformationModified']}, 'CS', 'REMOVED')) m(tag, vr, value)) WHERE vr <> 'UI' GROUP BY ALL",
+    "deid_apply_uids": _BASIC + _SUMS + f"SELECT tag, b.vr, CASE resolved WHEN 'empty' THEN '' WHEN 'dummy' THEN coalesce(dummy, '') WHEN 'clean' THEN coalesce(dummy, '') WHEN 'remap_uid' THEN {_REMAP} ELSE value END AS value FROM b LEFT JOIN {_DUMMY} ON dum.vr = b.vr WHERE resolved <> 'remove' UNION ALL SELECT m.tag, m.vr, m.value FROM (SELECT DISTINCT file FROM b), (VALUES ({dims.KEYWORD['PatientIdentityRemoved']}, 'CS', 'YES'), ({dims.KEYWORD['DeidentificationMethod']}, 'LO', '113100'), ({dims.KEYWORD['LongitudinalTemporalInformationModified']}, 'CS', 'REMOVED')) m(tag, vr, value)) WHERE vr = 'UI' GROUP BY ALL",
     "deid_files": _BASIC.replace("FROM elements e LEFT JOIN", "FROM (SELECT file, patient_id, tag, vr, min(value) AS value FROM elements WHERE tag <> 2576980377 GROUP BY ALL) e LEFT JOIN") + _SUMS + f"SELECT tag, b.vr, CASE resolved WHEN 'empty' THEN '' WHEN 'dummy' THEN coalesce(dummy, '') WHEN 'clean' THEN coalesce(dummy, '') WHEN 'remap_uid' THEN {_REMAP} ELSE value END AS value FROM b LEFT JOIN {_DUMMY} ON dum.vr = b.vr WHERE resolved <> 'remove' UNION ALL SELECT m.tag, m.vr, m.value FROM (SELECT DISTINCT file FROM b), (VALUES ({dims.KEYWORD['PatientIdentityRemoved']}, 'CS', 'YES'), ({dims.KEYWORD['DeidentificationMethod']}, 'LO', '113100'), ({dims.KEYWORD['LongitudinalTemporalInformationModified']}, 'CS', 'REMOVED'), (1179748, 'SQ', 'unread'), (524544, 'SH', '113100'), (524546, 'SH', 'DCM'), (524548, 'LO', 'Basic Application Confidentiality Profile')) m(tag, vr, value)) GROUP BY ALL",
     "deid_any_vr": _BASIC + "SELECT tag, vr, CASE tag WHEN 2621456 THEN 'empty' WHEN 2621457 THEN 'dummy' ELSE resolved END AS resolved, count(*) FILTER (tag = 2621456 OR resolved = 'empty' OR (resolved = 'keep' AND value = '')) AS n_empty, count(*) FILTER (tag = 2621457) AS n_zero FROM b GROUP BY ALL",
     "deid_masked": W("elements") + "SELECT tag, CASE WHEN (tag // 65536) % 2 = 1 THEN 'private' WHEN tag = 1048608 THEN 'K' WHEN tag // 65536 = 8 THEN 'D' WHEN tag // 65536 = 16 THEN 'Z' ELSE 'X' END AS code, count(*) AS n FROM elements GROUP BY ALL",

@@ -154,3 +154,28 @@ def rct(r: Column, g: Column, b: Column) -> list[Column]:
 def inverse_rct(y: Column, u: Column, v: Column) -> list[Column]:
     g = y - F.shiftright(u + v, 2)
     return [v + g, g, u + g]
+
+
+def wide_ycbcr_to_rgb(y: Column, cb: Column, cr: Column, most: int) -> list[Column]:
+    """Colours of more than 8 bits, most being the largest sample: chroma is centred at half of it, rounded down."""
+    clamp = lambda x: F.greatest(F.lit(0), F.least(F.lit(most), (x + 0.5).cast("int")))
+    u, v = cb - most // 2, cr - most // 2
+    return [clamp(y + 1.402 * v), clamp(y - 0.344136 * u - 0.714136 * v), clamp(y + 1.772 * u)]
+
+
+#: The irreversible colour transform of JPEG 2000 and its inverse.
+ICT = [[0.299, 0.587, 0.114], [-0.16875, -0.33126, 0.5], [0.5, -0.41869, -0.08131]]
+INVERSE_ICT = [[1.0, 0.0, 1.402], [1.0, -0.34413, -0.71414], [1.0, 1.772, 0.0]]
+
+
+def _weighted(weights: list[list[float]], a: Column, b: Column, c: Column) -> list[Column]:
+    return [w[0] * a + w[1] * b + w[2] * c for w in weights]
+
+
+def ict(r: Column, g: Column, b: Column) -> list[Column]:
+    """The irreversible colour transform, not rounded: luminance and two differences."""
+    return _weighted(ICT, r, g, b)
+
+
+def inverse_ict(y: Column, cb: Column, cr: Column) -> list[Column]:
+    return _weighted(INVERSE_ICT, y, cb, cr)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import values
+from ..sources import shared
 from ..streaming import association, dimse
 from . import bridge
 
@@ -52,12 +51,27 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge.view(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir), bridge.EVENTS)
 
 
-def _finish(stream: DataFrame, mode: str) -> DataFrame:
-    """All that a stream gives for the input that is there now."""
-    name = "s" + uuid.uuid4().hex
-    with tempfile.TemporaryDirectory() as folder:
-        stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def _finish(stream: DataFrame, mode: str, key: str | None = None) -> DataFrame:
+    """All that a stream gives for the input that is there now: written to the shared folder, a part a batch.
+
+    A complete result is that of its last batch; an update of a key replaces earlier ones.
+    """
+    spark = stream.sparkSession
+    path = shared.new_path(spark, "stream")
+    schema = stream.schema
+    spark.createDataFrame([], schema).write.parquet(f"{path}/rows/batch=-1")  # there is a table even without a batch
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")  # a batch that runs again replaces itself
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", IntegerType())])).parquet(f"{path}/rows")
+    names = [c for c in rows.columns if c != "batch"]
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == rows.agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0])
+    elif key is not None:
+        rows = rows.groupBy(key).agg(F.max_by(F.struct(*names), "batch").alias("last")).select("last.*")
+    return rows.select(*names)
 
 
 def stream_dedup_sop(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +86,7 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_assoc_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _finish(association.stream_states(_stream(spark, sf_dir)), "update")
+    return _finish(association.stream_states(_stream(spark, sf_dir)), "update", "assoc")
 
 
 QUERIES = {f.__name__: f for f in (assoc_state_replay, assoc_sessions, dimse_reassemble, suboperation_progress, transfer_progress, first_context, stream_dedup_sop, stream_window_counts, stream_assoc_states)}

@@ -38,19 +38,39 @@ def frame_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.explode_frames(rows).select("vec_id", "frame_no", F.lower(F.hex("frame")).alias("frame_hex"))
 
 
+def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, k, a, b, c): the samples of each picture as 21 colours."""
+    at = lambda i, j: F.get("s", i * 3 + j)
+    rows = samples(spark, sf_dir).select("vec_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.struct(i.alias("k"), at(i, 0).alias("a"), at(i, 1).alias("b"), at(i, 2).alias("c")))).alias("t"))
+    return rows.select("vec_id", "t.*")
+
+
 def color_ycbcr_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = lambda k: F.col("s")[k]
-    r, g, b = values.ycbcr_to_rgb(at(0), at(1), at(2))
-    y, cb, cr = values.rgb_to_ycbcr(at(3), at(4), at(5))
-    return samples(spark, sf_dir).select("vec_id", r.alias("r"), g.alias("g"), b.alias("b"), y.alias("y"), cb.alias("cb"), cr.alias("cr"))
+    abc = F.col("a"), F.col("b"), F.col("c")
+    r, g, b = values.ycbcr_to_rgb(*abc)
+    y, cb, cr = values.rgb_to_ycbcr(*abc)
+    return _triples(spark, sf_dir).select("vec_id", "k", r.alias("r"), g.alias("g"), b.alias("b"), y.alias("y"), cb.alias("cb"), cr.alias("cr"))
+
+
+def color_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of 12 bits."""
+    r, g, b = values.wide_ycbcr_to_rgb(F.col("a") * 16, F.col("b") * 16, F.col("c") * 16, 4095)
+    return _triples(spark, sf_dir).select("vec_id", "k", r.alias("r"), g.alias("g"), b.alias("b"))
 
 
 def color_rct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = lambda k: F.col("s")[k]
-    y, u, v = values.rct(at(0), at(1), at(2))
-    rows = samples(spark, sf_dir).select("vec_id", "s", y.alias("y"), u.alias("u"), v.alias("v"))
+    y, u, v = values.rct(F.col("a"), F.col("b"), F.col("c"))
+    rows = _triples(spark, sf_dir).withColumns({"y": y, "u": u, "v": v})
     r, g, b = values.inverse_rct(F.col("y"), F.col("u"), F.col("v"))
-    return rows.select("vec_id", "y", "u", "v", ((r == at(0)) & (g == at(1)) & (b == at(2))).alias("exact"))
+    return rows.select("vec_id", "k", "y", "u", "v", r.alias("r"), g.alias("g"), b.alias("b"))
+
+
+def color_ict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Luminance and differences in hundredths; colours that come back."""
+    y, u, v = values.ict(F.col("a"), F.col("b"), F.col("c"))
+    rows = _triples(spark, sf_dir).withColumns({"y": y, "u": u, "v": v})
+    r, g, b = (F.round(x).cast("int") for x in values.inverse_ict(F.col("y"), F.col("u"), F.col("v")))
+    return rows.select("vec_id", "k", *[F.floor(F.col(x) * 100 + 0.25).alias(x) for x in ("y", "u", "v")], r.alias("r"), g.alias("g"), b.alias("b"))
 
 
 def dwt53_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +107,25 @@ def _roundtrip(syntax: str, coarse: int):
     return query
 
 
+RLE_HEAD = "01000000" + "40000000" + "00000000" * 14  # a segment after 64 bytes
+
+
+def rle_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of two runs, 40 samples of one value and 24 of another, in coded bytes."""
+    one = lambda i, n: F.repeat(F.lpad(F.hex(F.col("s")[i]), 2, "0"), n)
+    plain = F.unhex(F.concat(one(0, 40), one(63, 24)))
+    coded = registry.transcode(frame_table(spark, sf_dir).drop("frame").join(samples(spark, sf_dir), "vec_id").withColumn("frame", plain).drop("s"), None, dims.RLE_SYNTAX)
+    return coded.select("vec_id", F.lower(F.hex("frame")).alias("coded"), F.col("codec_error").isNull().alias("ok"))
+
+
+def rle_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples out of coded bytes that columns made: 32 literal samples, then a run of 32."""
+    two = lambda x: F.lpad(F.hex(x), 2, "0")
+    coded = F.concat(F.lit(RLE_HEAD + "1F"), F.concat_ws("", F.transform(F.slice("s", 1, 32), two)), F.lit("E1"), two(F.col("s")[63]))
+    rows = frame_table(spark, sf_dir).drop("frame").join(samples(spark, sf_dir), "vec_id").withColumn("frame", F.unhex(coded)).drop("s")
+    return registry.transcode(rows, dims.RLE_SYNTAX, None).select("vec_id", F.lower(F.hex("frame")).alias("plain"), F.col("codec_error").isNull().alias("ok"))
+
+
 def codec_best_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = registry.Registry()
     r.register(registry.Codec("my-rle", dims.RLE_SYNTAX, registry.USER, None, None))
@@ -152,19 +191,39 @@ def redact_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.redact(rows).select("vec_id", "n_regions", "status", F.lower(F.hex("frame")).alias("frame_hex"))
 
 
-QUERIES = {f.__name__: f for f in (frame_slice, color_ycbcr_rgb, color_rct, dwt53_1d, dwt_2d_roundtrip, codec_best_priority, parse_written_files, parse_elements, seq_flatten, seq_inherit_charset, redact_pixels)}
+def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions that met pictures, and what became of the pictures."""
+    inside, outside = pixels.region(F.lit(-1), F.lit(0), F.lit(3), F.lit(2)), pixels.region(F.lit(8), F.lit(8), F.lit(3), F.lit(2))
+    wanted = F.when(F.col("vec_id") % 3 == 0, F.array(inside, outside)).when(F.col("vec_id") % 3 == 1, F.array(inside, inside)).otherwise(F.array(outside))
+    rows = frame_table(spark, sf_dir).withColumn("encapsulated", F.col("vec_id") % 10 == 0).withColumn("regions", wanted)
+    return pixels.redaction_summary(pixels.redact(rows))
+
+
+def trim_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    padded = F.concat("p_type", F.repeat(F.lit(" "), F.col("p_size") % 3), F.repeat(F.lit("\0"), F.col("p_size") % 4))
+    return bridge.read(spark, sf_dir, "part").select("p_partkey", values.trim_padding(padded).alias("trimmed"), F.length(padded).alias("n_padded"))
+
+
+QUERIES = {f.__name__: f for f in (rle_encode, rle_decode, color_wide, color_ict, redaction_counts, trim_padding, frame_slice, color_ycbcr_rgb, color_rct, dwt53_1d, dwt_2d_roundtrip, codec_best_priority, parse_written_files, parse_elements, seq_flatten, seq_inherit_charset, redact_pixels)}
 QUERIES |= {"rle_roundtrip": _roundtrip(dims.RLE_SYNTAX, 16), "jpeg_lossless_roundtrip": _roundtrip(dims.JPEG_LOSSLESS, 1)}
 
 _S = "WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor((CAST(x AS DOUBLE) + 1) * 127) AS INT)) AS s FROM embeddings) "
-_C = lambda e: f"CAST(greatest(0, least(255, trunc({e} + 0.5))) AS INT)"
+_T = _S + ", t AS (SELECT vec_id, CAST(k AS INT) AS k, s[CAST(3 * k + 1 AS INT)] AS a, s[CAST(3 * k + 2 AS INT)] AS b, s[CAST(3 * k + 3 AS INT)] AS c FROM s, range(21) r(k)) "
+_C = lambda e, most=255: f"CAST(greatest(0, least({most}, trunc({e} + 0.5))) AS INT)"
 _HEX = "lower(array_to_string(list_transform({}, lambda x: printf('%02x', x)), ''))"
 _TURNS = "WITH turns AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INT) AS item FROM conversations)"
 _OK = "SELECT vec_id, true AS exact, true AS ok FROM embeddings"
 _MADE = W("images") + "SELECT sop_uid AS file, any_value(patient_id) AS patient_id, any_value(patient_name) AS patient_name, any_value(study_uid) AS study_uid, min(modality) AS modality, any_value(study_date) AS study_date, CAST(min(CAST(n_rows AS VARCHAR)) AS INT) AS n_rows, CAST(min(CAST(n_cols AS VARCHAR)) AS INT) AS n_cols, '1.2.840.10008.1.2' AS ts_uid FROM images GROUP BY sop_uid"
 SQL = {
     "frame_slice": _S + f"SELECT vec_id, CAST(f AS INT) AS frame_no, {_HEX.format('s[CAST(f * 16 + 1 AS INT):CAST(f * 16 + 16 AS INT)]')} AS frame_hex FROM s, range(4) r(f)",
-    "color_ycbcr_rgb": _S + f"SELECT vec_id, {_C('s[1] + 1.402e0 * (s[3] - 128)')} AS r, {_C('s[1] - 0.344136e0 * (s[2] - 128) - 0.714136e0 * (s[3] - 128)')} AS g, {_C('s[1] + 1.772e0 * (s[2] - 128)')} AS b, y, {_C('(s[6] - y) / 1.772e0 + 128')} AS cb, {_C('(s[4] - y) / 1.402e0 + 128')} AS cr FROM (SELECT *, {_C('0.299e0 * s[4] + 0.587e0 * s[5] + 0.114e0 * s[6]')} AS y FROM s)",
-    "color_rct": _S + "SELECT vec_id, CAST(floor((s[1] + 2 * s[2] + s[3]) / 4.0) AS INT) AS y, s[3] - s[2] AS u, s[1] - s[2] AS v, true AS exact FROM s",
+    "color_ycbcr_rgb": _T + f"SELECT vec_id, k, {_C('a + 1.402e0 * (c - 128)')} AS r, {_C('a - 0.344136e0 * (b - 128) - 0.714136e0 * (c - 128)')} AS g, {_C('a + 1.772e0 * (b - 128)')} AS b, y, {_C('(c - y) / 1.772e0 + 128')} AS cb, {_C('(a - y) / 1.402e0 + 128')} AS cr FROM (SELECT *, {_C('0.299e0 * a + 0.587e0 * b + 0.114e0 * c')} AS y FROM t)",
+    "color_wide": _T + f"SELECT vec_id, k, {_C('a * 16 + 1.402e0 * (c * 16 - 2047)', 4095)} AS r, {_C('a * 16 - 0.344136e0 * (b * 16 - 2047) - 0.714136e0 * (c * 16 - 2047)', 4095)} AS g, {_C('a * 16 + 1.772e0 * (b * 16 - 2047)', 4095)} AS b FROM t",
+    "color_rct": _T + "SELECT vec_id, k, CAST(floor((a + 2 * b + c) / 4.0) AS INT) AS y, c - b AS u, a - b AS v, a AS r, b AS g, c AS b FROM t",
+    "color_ict": _T + "SELECT vec_id, k, CAST(floor((0.299e0 * a + 0.587e0 * b + 0.114e0 * c) * 100 + 0.25) AS BIGINT) AS y, CAST(floor((-0.16875e0 * a - 0.33126e0 * b + 0.5e0 * c) * 100 + 0.25) AS BIGINT) AS u, CAST(floor((0.5e0 * a - 0.41869e0 * b - 0.08131e0 * c) * 100 + 0.25) AS BIGINT) AS v, a AS r, b AS g, c AS b FROM t",
+    "rle_encode": _S + f"SELECT vec_id, '{RLE_HEAD}' || CASE WHEN s[1] = s[64] THEN printf('c1%02x', s[1]) ELSE printf('d9%02xe9%02x', s[1], s[64]) END AS coded, true AS ok FROM s",
+    "rle_decode": _S + f"SELECT vec_id, {_HEX.format('s[1:32]')} || repeat(printf('%02x', s[64]), 32) AS plain, true AS ok FROM s",
+    "redaction_counts": "SELECT CAST(sum(CASE WHEN vec_id % 10 = 0 THEN 0 ELSE CASE vec_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END END) AS BIGINT) AS regions, count(*) AS frames, count(*) FILTER (vec_id % 10 <> 0 AND vec_id % 3 < 2) AS modified, count(*) FILTER (vec_id % 10 <> 0) AS successes FROM embeddings",
+    "trim_padding": "SELECT p_partkey, p_type AS trimmed, CAST(length(p_type) + p_size % 3 + p_size % 4 AS INT) AS n_padded FROM part",
     "dwt53_1d": _S + ", h AS (SELECT vec_id, s, list_transform(range(32), lambda i: CAST(s[2 * i + 2] - floor((s[2 * i + 1] + s[least(2 * i + 3, 63)]) / 2.0) AS INT)) AS h FROM s) SELECT vec_id, array_to_string(list_transform(range(32), lambda i: CAST(s[2 * i + 1] + floor((h[greatest(i, 1)] + h[i + 1] + 2) / 4.0) AS INT)), ',') AS low, array_to_string(h, ',') AS high FROM h",
     "dwt_2d_roundtrip": "SELECT vec_id, true AS exact, true AS close FROM embeddings",
     "rle_roundtrip": _OK,

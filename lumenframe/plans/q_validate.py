@@ -51,6 +51,19 @@ def val_is_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.validity(e, v.issues(e)).groupBy("valid").agg(F.count(F.lit(1)).alias("n"))
 
 
+def val_enforce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings pass where errors would stop the reading."""
+    values = dirty_elements(spark, sf_dir).groupBy("tag", "vr", "value").agg(F.count(F.lit(1)).alias("n"))
+    found = v.enforce(v.behave(v.issues(values, ["PN", "CS", "length", "repertoire"]), "strict"))
+    return found.groupBy("tag", "rule_id", "code", "severity").agg(F.sum("n").alias("n"))
+
+
+def val_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues by named set of rules; each rule runs once, and a set has those of its own."""
+    member = spark.createDataFrame([(k, r) for k, rules in v.SETS.items() for r in rules], "rule_set string, rule_id string")
+    return val_profile_counts(spark, sf_dir).join(F.broadcast(member), "rule_id").groupBy("rule_set", "code", "severity").agg(F.sum("n").alias("n"))  # some twenty rows
+
+
 def val_custom_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     mine = {"no_shout": lambda value, vr: v.issue([((vr == "LO") & value.startswith("L"), 24, v.WARNING)])}
     return v.issues(dirty_elements(spark, sf_dir), [], mine).groupBy("rule_id", "code").agg(F.count(F.lit(1)).alias("n"))
@@ -64,7 +77,7 @@ def val_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "val_da": _rule("da", v.date), "val_tm": _rule("tm", v.time), "val_dt": _rule("dt", v.date_time), "val_as": _rule("age", v.age), "val_ui": _rule("ui", v.uid), "val_pn": _rule("pn", v.person_name), "val_cs": _rule("cs", v.code_string),
     "val_length": _rule("lo", lambda c: v.length(c, F.lit("LO"))), "val_chars_ds": _rule("ds", lambda c: v.repertoire(c, F.lit("DS"))), "val_chars_is": _rule("is_", lambda c: v.repertoire(c, F.lit("IS"))), "val_chars_ae": _rule("ae", lambda c: v.repertoire(c, F.lit("AE"))),
-    "val_profile_counts": val_profile_counts, "val_profile_override": val_profile_override, "val_structural": val_structural, "val_is_valid": val_is_valid, "val_custom_rule": val_custom_rule, "val_multiplicity": val_multiplicity,
+    "val_profile_counts": val_profile_counts, "val_profile_override": val_profile_override, "val_structural": val_structural, "val_is_valid": val_is_valid, "val_custom_rule": val_custom_rule, "val_enforce": val_enforce, "val_sets": val_sets, "val_multiplicity": val_multiplicity,
 }
 
 _DIGITS = "regexp_full_match({}, '[0-9]+')"
@@ -103,6 +116,8 @@ SQL = {
     "val_profile_override": _ISSUES + "SELECT CAST(tag AS BIGINT) AS tag, CASE tag WHEN 7 THEN 'validate' ELSE 'warn' END AS behavior, count(*) AS n FROM i WHERE tag <> 1 GROUP BY tag",
     "val_structural": _ISSUES + f"SELECT {_SHOW}, count(*) AS n FROM i WHERE rule_id = 'length' GROUP BY c",
     "val_is_valid": _ISSUES + "SELECT valid, count(*) AS n FROM (SELECT k, k NOT IN (SELECT file FROM i WHERE c > 0) AS valid FROM (SELECT DISTINCT k FROM dirty)) GROUP BY valid",
+    "val_enforce": _ISSUES + f"SELECT CAST(tag AS BIGINT) AS tag, rule_id, {_SHOW}, count(*) AS n FROM i WHERE rule_id IN ('PN', 'CS', 'length', 'repertoire') GROUP BY tag, rule_id, c",
+    "val_sets": _ISSUES + f"SELECT rule_set, {_SHOW}, count(*) AS n FROM i JOIN (VALUES ('all', ['DA', 'TM', 'DT', 'AS', 'UI', 'PN', 'CS', 'length', 'repertoire']), ('structural', ['length']), ('datetime', ['DA', 'TM', 'DT', 'AS']), ('identifier', ['UI', 'PN']), ('character', ['CS', 'repertoire', 'length'])) s(rule_set, rules) ON list_contains(rules, rule_id) GROUP BY rule_set, c",
     "val_custom_rule": W("dirty") + "SELECT 'no_shout' AS rule_id, 'DICOM-024' AS code, count(*) AS n FROM dirty WHERE starts_with(lo, 'L')",
     "val_multiplicity": W("elements") + "SELECT tag, 'DICOM-005' AS code, count(*) AS n FROM elements WHERE tag = 524296 AND value <> '' AND len(string_split(value, chr(92))) <> 3 GROUP BY tag",
 }

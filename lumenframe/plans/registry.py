@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_access, q_dataset, q_deid, q_network, q_pixels, q_query, q_validate
+from . import q_access, q_dataset, q_deid, q_network, q_pixels, q_query, q_stores, q_validate
 
-MODULES = [q_query, q_access, q_dataset, q_validate, q_deid, q_pixels, q_network]
+MODULES = [q_query, q_access, q_dataset, q_validate, q_deid, q_pixels, q_network, q_stores]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,5 +1,7 @@
 """Files: round trips, nesting, damage, codecs, configs, dictionaries, mappings, streams."""
 
+import datetime
+import json
 import random
 
 import numpy as np
@@ -8,7 +10,8 @@ import pytest
 from lumenframe import dims
 from lumenframe.codecs import jpeg_baseline, jpeg_lossless, registry, rle, wavelet
 from lumenframe.operators.deid import DeidOptions
-from lumenframe.sources import config, deid_files, dictionaries, lazy, mapping, reader
+from lumenframe.operators.query import ImageQuery
+from lumenframe.sources import config, deid_files, dictionaries, lazy, mapping, reader, retrieve
 from lumenframe.sources.encode import Node, encode, tree
 from lumenframe.sources.parse import DicomError, Fragments, ReadOptions, iter_frames, parse
 from lumenframe.streaming import association, dimse, ingest, pdu
@@ -184,6 +187,33 @@ def test_mapping_table(spark, tmp_path):
     table = mapping.load(spark, path)
     assert {tuple(r) for r in table.collect()} == {("s", "1", "a"), ("s", "2", "c")}
     assert mapping.reverse(spark.createDataFrame([("c",)], "remapped_uid string"), table).first()["original_uid"] == "2"
+    with pytest.raises(ValueError):  # c stands for 2 already
+        mapping.append(make(("s", "3", "c")), path)
+    make(("s", "1", "z")).selectExpr("*", "timestamp '2000-01-01' AS created_at").write.mode("append").parquet(path)  # of a run at the same time, and older
+    assert {tuple(r) for r in mapping.load(spark, path).collect()} == {("s", "1", "z"), ("s", "2", "c")}
+
+
+@pytest.mark.parametrize("n", [0, 1, 5])
+def test_mapping_export(spark, tmp_path, n):
+    rows = [("s", f'u"{i}', f"m{i}", datetime.datetime(2024, 1, 9 - i)) for i in range(n)]
+    mapping.export_json(spark.createDataFrame(rows, mapping.STORED), str(tmp_path / "out"), '2024 "now"')
+    found = json.loads("".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))))
+    assert (found["exportedAt"], found["mappingCount"]) == ('2024 "now"', n)
+    assert [(m["originalUid"], m["remappedUid"]) for m in found["mappings"]] == [r[1:3] for r in reversed(rows)]
+
+
+def test_retrieval_of_missing_files(spark, tmp_path):
+    images = spark.createDataFrame([("p", "st", "se", "1.1", "CT"), ("p", "st", "se", "1.2", "CT"), ("p", "st", "se", "1.3", "MR")], "patient_id string, study_uid string, series_uid string, sop_uid string, modality string")
+    images = images.selectExpr("*", "'n' AS patient_name", "'d' AS study_date", "'a' AS accession", "'x' AS description")
+    files = spark.createDataFrame([("1.1", b"one"), ("1.3", b"three")], "file string, content binary")
+    query = ImageQuery.for_images().with_modality("CT")
+    for _ in range(2):  # a second time writes the same
+        moved = {r["sop_uid"]: (r["status"], r["bytes"]) for r in retrieve.move(files, images, query, (tmp_path / "to").as_uri()).collect()}
+        assert moved == {"1.1": (0, 3), "1.2": (retrieve.NOT_THERE, 0)}
+    assert [(p.name, p.read_bytes()) for p in (tmp_path / "to").iterdir()] == [("1.1.dcm", b"one")]
+    got = retrieve.get(files, images, query, lambda uid, content: len(content) - 3)
+    assert {tuple(r) for r in got.collect()} == {("1.1", 0), ("1.2", retrieve.NOT_THERE)}
+    assert tuple(retrieve.final(got).first()) == (1, 0, 1, retrieve.SOME_FAILED)
 
 
 def test_units():

@@ -2,8 +2,10 @@
 
 Executors count in how many texts of either label each hashed n-gram occurs, over all labelled rows that may be learned
 from; the ratio of the two, in logarithms, scales the n-gram's presence, and the FEATURES n-grams that tell the labels
-apart best are kept. Logistic regression with an L2 penalty sets the weights on a bounded sample (at most
-SAMPLE_PER_LABEL different rows of either label). Labels are learned from alone; a score sees the text only.
+apart best are kept. Logistic regression with an L2 penalty sets the weights on all of those rows: they are dealt by hash
+to shards of some SHARD_ROWS, each with LEAST_PER_LABEL rows of either label or all there are; shards are fitted side by
+side and their weights averaged by rows, in whole numbers, so the model depends on the rows alone. Rows that repeat are
+fitted once. Labels are learned from alone; a score sees the text only.
 
 Null and empty texts get a score from no n-grams. If there is nothing to learn from, every score is 0. Repeated rows get
 the same score. Rows whose id is null count as held out. Texts are read whole, however long they are. A column of the
@@ -17,17 +19,23 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import common
-from .chargrams import bounded_sample, codes, gram_ids
+from .chargrams import bounded_sample, codes, dealt, different, gram_ids, hashed, once
 
 BITS = 20
 GRAMS = range(4, 7)
-#: The bound of the sample that the classifier is fitted on.
-SAMPLE_PER_LABEL = 4000
+#: Rows that are fitted together, and those of either label among them.
+SHARD_ROWS = 8192
+LEAST_PER_LABEL = 1000
+#: Features of rows that are fitted together; a shard of more is fitted part by part.
+PART_FEATURES = 2_000_000
+#: Parts of one in which averages are added up.
+UNIT = float(1 << 24)
 FEATURES = 8192
 SMOOTHING, LEAST_TEXTS = 0.5, 4
 STEPS, RATE, L2 = 300, 0.3, 1e-4
@@ -99,8 +107,51 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], r: np.ndarray, weight: np.nd
     return w * r, b
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = SAMPLE_PER_LABEL) -> Model:
-    """A model from labels (id, 0 or 1) and the texts of docs; an id that has both labels counts as toxic."""
+def balance(y: np.ndarray, counts: dict[int, int]) -> np.ndarray:
+    """Weights of rows by which either label counts as much as it does in the whole."""
+    return np.where(y == 1, counts[1] / max(1, (y == 1).sum()), counts[0] / max(1, (y == 0).sum()))
+
+
+def fit_all(texts: DataFrame, bare: Broadcast, r: np.ndarray, counts: dict[int, int]) -> Model:
+    """A model from all of texts (id, label, text): the mean of the weights of shards; bare has the features' ids."""
+    texts = hashed(texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(r) + 2, np.int64)  # weights, bias, rows
+        shard, y, rows, size = None, [], [], 0
+
+        def close() -> None:
+            labels = np.array(y, np.float64)
+            w, b = fit(labels, rows, r, balance(labels, counts))
+            total[:-1] += np.rint(np.append(w, b) * (len(rows) * UNIT)).astype(np.int64)
+            total[-1] += len(rows)
+
+        for s, label, text in once(batches):
+            if rows and (s != shard or size > PART_FEATURES):
+                close()
+                y, rows, size = [], [], 0
+            shard = s
+            y.append(label)
+            rows.append(bare.value.present(text))
+            size += len(rows[-1])
+        if rows:
+            close()
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["at", "w"])
+
+    parts = dealt(texts, different(texts, 2), SHARD_ROWS, LEAST_PER_LABEL).mapInArrow(common.tidy(run), "at long, w long")
+    total = np.zeros(len(r) + 2)
+    for x in parts.groupBy("at").agg(F.sum("w").alias("w")).collect():  # a row a feature
+        total[x["at"]] = x["w"]
+    w = total[:-1] / (UNIT * max(1.0, total[-1]))
+    return Model(bare.value.ids, w[:-1], float(w[-1]))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int | None = None) -> Model:
+    """A model from labels (id, 0 or 1) and the texts of docs; an id that has both labels counts as toxic.
+
+    All labelled rows that may be learned from are fitted; with per_label, a sample of as many of either label.
+    """
     common.bounded_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(~common.held_out("id") & F.col("label").isin(0, 1))
     known = known.groupBy("id").agg(F.max(F.col("label").cast("int")).alias("label"))
@@ -111,6 +162,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model()
     best = sorted(found)
     bare = docs.sparkSession.sparkContext.broadcast(Model(np.array([i for i, _ in best], np.int32), np.zeros(len(best)), 0.0))
+    r = np.array([x for _, x in best])
+    if per_label is None:
+        return fit_all(texts, bare, r, counts)
     sample = bounded_sample(texts, per_label, 2, 2 * per_label, counts)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,8 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = sample.mapInArrow(common.tidy(featurise), "id string, label int, at binary").collect()  # bounded by the sample
     rows.sort(key=lambda x: (len(x["id"]), x["id"], x["label"], bytes(x["at"])))
     y = np.array([x["label"] for x in rows], np.float64)
-    weight = np.where(y == 1, counts[1] / max(1, (y == 1).sum()), counts[0] / max(1, (y == 0).sum()))
-    weights, bias = fit(y, [np.frombuffer(x["at"], "<i2") for x in rows], np.array([r for _, r in best]), weight)
+    weights, bias = fit(y, [np.frombuffer(x["at"], "<i2") for x in rows], r, balance(y, counts))
     return Model(bare.value.ids, weights, bias)
 
 

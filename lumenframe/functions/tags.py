@@ -29,6 +29,11 @@ def slot(tag: Column) -> Column:
     return F.when(is_private_creator(tag), element(tag)).when(is_private(tag), F.shiftright(element(tag), 8))
 
 
+def block(tag: Column) -> Column:
+    """Group and slot of a private element as one number."""
+    return F.shiftright(tag, 16) * 65536 + slot(tag)
+
+
 def show(tag: Column) -> Column:
     return F.when(tag.isNotNull(), F.format_string("(%04X,%04X)", group(tag), element(tag)))
 

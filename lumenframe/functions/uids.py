@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 REGISTERED = "1.2.840.10008."
@@ -19,23 +20,40 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def decimal_of_hex(digits: Column) -> Column:
-    """The decimal form of 32 hex digits.
+def _long(n: int) -> Column:
+    return F.lit(n).cast("long")
+
+
+def _half(digits: Column, at: int) -> Column:
+    """16 hex digits from a place, as the 64 bits of a long."""
+    return F.conv(F.substring(digits, at, 16), 16, -10).cast("long")
+
 
-    With B = 10^19 and 2^64 = B + C, the number h * 2^64 + l is B * h + (h * C + l). h is taken in two halves so that
-    no product leaves 38 digits; quotients and remainders by B give the upper and the lower 19 digits.
+def _decimal(hi: Column, lo: Column) -> Column:
+    """The decimal form of the unsigned number of 128 bits in two longs.
+
+    Its four parts of 32 bits are spread over limbs of nine digits by what 2^96, 2^64 and 2^32 are in them; no sum
+    leaves a long. In a projection of its own its common parts are computed once.
     """
-    whole = lambda at, n: F.conv(F.substring(digits, at, n), 16, 10).cast("decimal(20,0)")
-    base, c = F.lit(str(10**19)).cast("decimal(20,0)"), F.lit(str(2**64 - 10**19)).cast("decimal(19,0)")
-    half = F.lit(2**32).cast("decimal(10,0)")
-    upper, lower = (whole(at, 8).cast("decimal(10,0)") for at in (1, 9))
-    quotient = lambda v: F.call_function("div", v, base).cast("decimal(20,0)")
+    div = lambda x, y: F.call_function("div", x, y)
+    base, low32 = _long(10**9), _long(0xFFFFFFFF)
+    a, b, c, d = F.shiftrightunsigned(hi, 32), hi.bitwiseAND(low32), F.shiftrightunsigned(lo, 32), lo.bitwiseAND(low32)
+    d0 = a * _long(543950336) + b * _long(709551616) + c * _long(294967296) + d
+    d1 = a * _long(264337593) + b * _long(446744073) + c * _long(4) + div(d0, base)
+    d2 = a * _long(228162514) + b * _long(18) + div(d1, base)
+    d3 = a * _long(79) + div(d2, base)
+    low, middle = (d1 % base) * base + d0 % base, (d3 % base) * base + d2 % base
+    lead = F.concat(div(d3, base).cast("string"), F.lpad(middle.cast("string"), 18, "0"), F.lpad(div(low, _long(10)).cast("string"), 17, "0"))
+    return F.concat(F.ltrim(lead, F.lit("0")), (low % _long(10)).cast("string"))
+
 
-    def joined(x: Column, t: Column) -> Column:
-        low = (t % base).cast("decimal(20,0)").cast("string")
-        return _once(whole(1, 16) + quotient(x) * half + quotient(t), lambda high: F.when(high == 0, low).otherwise(F.concat(high.cast("string"), F.lpad(low, 19, "0"))))
+def _bound(first: Column, second: Column, use: Callable[[Column, Column], Column]) -> Column:
+    return _once(F.struct(first.alias("a"), second.alias("b")), lambda s: use(s["a"], s["b"]))
 
-    return _once(upper * c, lambda x: _once(lower * c + (x % base) * half + whole(17, 16), lambda t: joined(x, t)))
+
+def decimal_of_hex(digits: Column) -> Column:
+    """The decimal form of 32 hex digits."""
+    return _bound(_half(digits, 1), _half(digits, 17), _decimal)
 
 
 def _bytes(digits: Column, order: list[int]) -> Column:
@@ -45,15 +63,29 @@ def _bytes(digits: Column, order: list[int]) -> Column:
 SWAPPED = [3, 2, 1, 0, 5, 4, 7, 6, 8, 9, 10, 11, 12, 13, 14, 15]
 
 
-def from_seed(seed: Column) -> Column:
-    """2.25.<n> from the SHA-256 of a seed, marked as a UUID of version 5; the same seed always gives the same UID."""
+def _upper(x: Column) -> Column:
+    """The first eight bytes in the order of SWAPPED, with version 5."""
+    byte = [F.shiftrightunsigned(x, 56 - 8 * i).bitwiseAND(_long(0xFF)) for i in range(8)]
+    byte[6] = byte[6].bitwiseAND(_long(0x0F)).bitwiseOR(_long(0x50))
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(byte[i], 56 - 8 * at) for at, i in enumerate(SWAPPED[:8])])
+
+
+def _lower(y: Column) -> Column:
+    """The last eight bytes, with the variant of a UUID."""
+    return y.bitwiseAND(_long(0x3FFFFFFFFFFFFFFF)).bitwiseOR(_long(-(2**63)))
 
-    def marked(h: Column) -> Column:
-        variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
-        return F.concat(F.substring(h, 1, 12), F.lit("5"), F.substring(h, 14, 3), variant, F.substring(h, 18, 15))
 
-    digits = _once(F.sha2(seed, 256), lambda h: _once(marked(h), lambda m: _bytes(m, SWAPPED)))
-    return F.concat(F.lit("2.25."), _once(digits, decimal_of_hex))
+def with_derived(rows: DataFrame, name: str, seed: Column) -> DataFrame:
+    """rows with from_seed(seed) as a column, at a fifth of its time: in steps of their own, without lambdas; null for null."""
+    steps = rows.withColumn("_h", F.sha2(seed, 256)).withColumns({"_x": _half(F.col("_h"), 1), "_y": _half(F.col("_h"), 17)})
+    steps = steps.withColumns({"_hi": _upper(F.col("_x")), "_lo": _lower(F.col("_y"))})
+    return steps.withColumn(name, F.concat(F.lit("2.25."), _decimal(F.col("_hi"), F.col("_lo")))).drop("_h", "_x", "_y", "_hi", "_lo")
+
+
+def from_seed(seed: Column) -> Column:
+    """2.25.<n> from the SHA-256 of a seed, marked as a UUID of version 5; the same seed always gives the same UID."""
+    halves = lambda h: _bound(_half(h, 1), _half(h, 17), lambda x, y: _bound(_upper(x), _lower(y), _decimal))
+    return F.concat(F.lit("2.25."), _once(F.sha2(seed, 256), halves))
 
 
 def from_uuid(uuid: Column) -> Column:

@@ -16,6 +16,11 @@ def split_values(s: Column) -> Column:
     return F.split(s, r"\\", -1)
 
 
+def count_values(s: Column) -> Column:
+    """The number of values, without splitting."""
+    return F.length(s) - F.length(F.replace(s, F.lit(BACKSLASH), F.lit(""))) + 1
+
+
 def first_value(s: Column) -> Column:
     return F.element_at(split_values(s), 1)
 

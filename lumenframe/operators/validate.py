@@ -7,11 +7,13 @@ are tried, and the first that fails names the issue.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import VR
+from ..functions import tags, values
 
 ERROR, WARNING = "Error", "Warning"
 Check = tuple[Column, int, str]
@@ -27,7 +29,7 @@ def issue(checks: list[Check]) -> Column:
 
 
 def _unpad(v: Column, pad: str = " ") -> Column:
-    return F.regexp_replace(v, f"[{pad}]+$", "")
+    return F.rtrim(v, F.lit(pad))
 
 
 def _part(v: Column, at: int, n: int = 2) -> Column:
@@ -43,9 +45,11 @@ def _outside(v: Column, low: int, high: int) -> Column:
 
 
 def _no_such_day(v: Column) -> Column:
-    """Of yyyyMMdd with a good year and month: no such day."""
-    first = F.try_to_timestamp(F.concat(_part(v, 1, 6), F.lit("01")), F.lit("yyyyMMdd")).cast("date")
-    return _outside(_part(v, 7), 1, 31) | (_part(v, 7).try_cast("int") > F.dayofmonth(F.last_day(first)))
+    """Of yyyyMMdd with a good year and month: no such day. In whole numbers: rules run on every value."""
+    year, month, day = (_part(v, at, n).try_cast("int") for at, n in ((1, 4), (5, 2), (7, 2)))
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    days = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    return ~F.coalesce(day.between(1, days), F.lit(False))
 
 
 def date(value: Column) -> Column:
@@ -88,7 +92,7 @@ def date_time(value: Column) -> Column:
     """A length between two parts, such as yyyyMMddH, passes; only whole parts are looked at."""
     v = _unpad(value)
     n = F.length(v)
-    local = F.regexp_replace(v, "[+-][^+-]*$", "")
+    local = F.when(v.contains("+") | v.contains("-"), F.regexp_replace(v, "[+-][^+-]*$", "")).otherwise(v)
     zone = F.substring(v, F.length(local) + 1, F.lit(30))
     m = F.length(local)
     has = lambda k: m >= k
@@ -126,7 +130,7 @@ def age(value: Column) -> Column:
 
 
 def uid(value: Column) -> Column:
-    v = _unpad(value, "\\x00")
+    v = _unpad(value, "\0")
     # whichever comes first in the text, a letter or a bad component, names the issue
     bad_letter = F.length(F.regexp_extract(v, r"^[0-9.]*", 0))
     bad_part = F.length(F.regexp_extract(v, r"^((0|[1-9][0-9]*)(\.|$))*", 0))
@@ -168,11 +172,12 @@ LIMITS = {r[0]: (r[3], r[7] is not None, r[2]) for r in VR if r[4] and r[3] is n
 
 
 def length(value: Column, vr: Column) -> Column:
+    """Values are only split where all of them together are longer than one may be."""
     v = _unpad(value)
     parts = F.transform(F.split(v, r"\\"), lambda x: F.octet_length(F.regexp_replace(x, "^ +| +$", "")))
     bad = F.lit(False)
     for name, (most, many, _) in LIMITS.items():
-        bad = F.when(vr == name, F.array_max(parts) > most if many else F.octet_length(v) > most).otherwise(bad)
+        bad = F.when(vr == name, (F.octet_length(value) > most) & (F.array_max(parts) > most if many else F.octet_length(v) > most)).otherwise(bad)
     return issue([(bad, 4, WARNING)])
 
 
@@ -189,9 +194,12 @@ def repertoire(value: Column, vr: Column) -> Column:
 
 def multiplicity(value: Column, vm: Column) -> Column:
     """A rule of our own: the number of values is outside the attribute's multiplicity."""
-    from ..functions import tags, values
+    return F.when(value != "", multiplicity_of(values.count_values(value), vm))
 
-    return issue([((value != "") & ~tags.vm_ok(F.size(values.split_values(value)), vm), 5, ERROR)])
+
+def multiplicity_of(count: Column, vm: Column) -> Column:
+    """multiplicity() of a number of values."""
+    return issue([(~tags.vm_ok(count, vm), 5, ERROR)])
 
 
 def _only(vr_name: str, rule: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:
@@ -237,3 +245,10 @@ def validity(elements: DataFrame, found: DataFrame, key: str = "file") -> DataFr
     """(key, valid): no error among a file's issues."""
     bad = found.groupBy(key).agg(F.bool_or(F.col("severity") == ERROR).alias("bad"))
     return elements.select(key).distinct().join(bad, key, "left").select(key, (~F.coalesce("bad", F.lit(False))).alias("valid"))
+
+
+def valid_files(elements: DataFrame, rules: list[str] | str = "all", key: str = "file") -> DataFrame:
+    """validity() of elements and all their issues, in one aggregation: no row is made for an issue."""
+    named = [RULES[k] for k in (SETS[rules] if isinstance(rules, str) else rules)]
+    bad = [F.coalesce(rule(F.col("value"), F.col("vr"))["severity"] == ERROR, F.lit(False)) for rule in named]
+    return elements.select(key, reduce(lambda a, b: a | b, bad, F.lit(False)).alias("bad")).groupBy(key).agg((~F.bool_or("bad")).alias("valid"))

@@ -101,11 +101,13 @@ class ImageQuery:
         if self.level == "IMAGE":
             return found.select(*KEYS["IMAGE"], *CARRIED["IMAGE"], *self.returned)
         below = LEVELS[LEVELS.index(self.level) + 1 :]
-        # distinct counts per level by one aggregation a level, finest first: nothing is expanded
+        # an entity's rows meet once, with the columns that are used, and its UIDs are counted there as sets: nothing is expanded
         keys = KEYS[self.level]
-        first = [F.first(c).alias(c) for c in [*CARRIED[self.level], *self.returned]]
-        counts = [F.count(F.lit(1)).alias("n_images")] + [F.count_distinct(KEYS[x][-1]).alias({"STUDY": "n_studies", "SERIES": "n_series"}[x]) for x in below if x != "IMAGE"]
-        return found.groupBy(*keys).agg(*first, *counts, F.array_join(F.array_sort(F.collect_set("modality")), "\\").alias("modalities"))
+        carried = [*CARRIED[self.level], *self.returned]
+        counted = {{"STUDY": "n_studies", "SERIES": "n_series"}[x]: KEYS[x][-1] for x in below if x != "IMAGE"}
+        met = found.select(*dict.fromkeys([*keys, *carried, *counted.values(), "modality"])).repartition(*keys)
+        counts = [F.count(F.lit(1)).alias("n_images")] + [F.size(F.collect_set(c)).cast("long").alias(n) for n, c in counted.items()]
+        return met.groupBy(*keys).agg(*[F.first(c).alias(c) for c in carried], *counts, F.array_join(F.array_sort(F.collect_set("modality")), "\\").alias("modalities"))
 
 
 def retrieve(images: DataFrame, query: ImageQuery, destination: str | None) -> DataFrame:
